@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tidescribe.llm import bpe, leaks, spans
+from tidescribe.llm import bpe, groups, leaks, spans, streamjoin, turns
 
 
 def queries() -> dict:
     return {
+        "p2_found": groups.p2_found,
+        "p2_splits": groups.p2_splits,
+        "p5_found": streamjoin.p5_found,
+        "p6_found": turns.p6_found,
+        "p6_turns": turns.p6_turns,
         "p8_ids": bpe.p8_ids,
         "p9_found": leaks.p9_found,
         "p9_clean": leaks.p9_clean,
@@ -16,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p5_found": streamjoin.P5_SQL}

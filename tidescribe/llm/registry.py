@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tidescribe.llm import bpe, groups, leaks, spans, streamjoin, turns
+from tidescribe.llm import bpe, consensus, groups, leaks, overlap, spans, streamjoin, turns
 
 
 def queries() -> dict:
     return {
         "p2_found": groups.p2_found,
         "p2_splits": groups.p2_splits,
+        "p4_found": overlap.p4_found,
+        "p4_report": overlap.p4_report,
         "p5_found": streamjoin.p5_found,
         "p6_found": turns.p6_found,
         "p6_turns": turns.p6_turns,
+        "p7_found": consensus.p7_found,
+        "p7_items": consensus.p7_items,
+        "p7_annotators": consensus.p7_annotators,
         "p8_ids": bpe.p8_ids,
         "p9_found": leaks.p9_found,
         "p9_clean": leaks.p9_clean,

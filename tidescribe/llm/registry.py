@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidescribe.llm import bpe, consensus, groups, leaks, overlap, spans, streamjoin, turns
+from tidescribe.llm import bpe, consensus, groups, language, leaks, overlap, spans, streamjoin, turns
 
 
 def queries() -> dict:
     return {
         "p2_found": groups.p2_found,
         "p2_splits": groups.p2_splits,
+        "p3_found": language.p3_found,
+        "p3_segments": language.p3_segments,
         "p4_found": overlap.p4_found,
         "p4_report": overlap.p4_report,
         "p5_found": streamjoin.p5_found,

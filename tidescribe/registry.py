@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from tidescribe.operators import coverage
+from tidescribe.plans import oracles
+from tidescribe.plans import queries as q
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "manifest_counts"
+NAMES = [
+    "turns_merged", "turns_bridged", "speech_gaps", "speech_union", "speaker_time", "overlap_regions", "asr_speech_overlap", "speech_without_asr", "asr_speakers", "asr_risky_boundaries",
+    "asr_durations", "scorecard", "segments_latest", "duplicate_audio", "manifest", "manifest_counts", "generation_map", "label_consensus", "sources_in_both", "sources_without_turns",
+    "source_split", "selection_report", "fastest_clips", "rolling_prompts", "top_languages", "chunk_status", "script_counts", "import_preview", "review_actions", "embedding_centroids",
+    "embedding_nearest", "speech_windows", "boundary_scores", "speaker_runs", "live_transcript", "subtitles", "term_counts", "language_spans", "annotator_scores", "neighbour_context",
+    "merged_short", "event_windows", "speaker_identities", "text_identities",
+]
 
 
 def queries() -> dict:
-    return {"p1_found": coverage.p1_found}
+    return {"p1_found": coverage.p1_found} | {n: getattr(q, n) for n in NAMES}
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": coverage.P1_SQL}
+    return {"p1_found": coverage.P1_SQL} | oracles.SQL

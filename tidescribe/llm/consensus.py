@@ -3,8 +3,8 @@
 Alternating minimisation of the weighted label distance: given weights, an item's truth is its
 label of most support; given truths, an annotator's error rate gets a chi-squared upper bound
 (few opinions: a wide one, so the long tail never dominates), and its log-odds are the weight.
-Dependence: annotators who cite the same evidence as their colleagues far more often than the
-median annotator draw on a common pool; their equal opinions on an item count as one together.
+Dependence: annotators who nearly always cite one evidence source that others cite too draw on
+a common pool; their equal opinions on an item count as one together.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ LEVEL = 0.05
 Z = statistics.NormalDist().inv_cdf(LEVEL)
 #: Wrong labels an erring annotator is taken to choose from.
 WRONG = 3.0
-#: Multiple of the median rate of shared evidence from which an annotator counts as dependent.
-POOLED = 1.5
+#: Share of its cited opinions from which an annotator counts as dependent on one shared source.
+POOLED = 0.5
 
 
 def fold(col: Column) -> Column:
@@ -51,14 +51,20 @@ def opinions(df: DataFrame) -> DataFrame:
 
 
 def dependence(votes: DataFrame) -> DataFrame:
-    """``annotator, dependent``: whether it shares evidence with its colleagues far above the median."""
+    """``annotator, pool``: the evidence source that an annotator draws on nearly always, with others.
+
+    A reference names its source once the item's own id is cut from it (``view:17:pool`` of item
+    17: ``view:pool``). Only sources that several annotators of one item have cited count, and an
+    annotator depends on one if more than POOLED of its cited opinions name it. Counts only: no
+    pairs of annotators are formed.
+    """
     cited = votes.filter("size(refs) > 0").select("item", "annotator", F.explode(F.array_distinct("refs")).alias("ref")).filter("ref is not null")
-    same = cited.groupBy("item", "ref").agg(F.count("*").alias("k"))
-    most = cited.join(same, ["item", "ref"]).groupBy("item", "annotator").agg(F.max("k").alias("k"))
-    size = most.groupBy("item").agg(F.count("*").alias("n"))
-    rate = most.join(size, "item").groupBy("annotator").agg((F.sum(F.col("k") - 1) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))).alias("rate"), F.sum(F.col("n") - 1).alias("seen"))
-    median = rate.agg(F.percentile("rate", 0.5).alias("median"))
-    return rate.join(F.broadcast(median)).select("annotator", F.coalesce((F.col("rate") > POOLED * F.col("median")) & (F.col("seen") >= 10), F.lit(False)).alias("dependent"))
+    own = F.array_join(F.filter(F.split("ref", "[:/]"), lambda x: x != F.col("item").cast("string")), ":")
+    cited = cited.withColumn("source", own).select("item", "annotator", "source").distinct()
+    shared = cited.groupBy("item", "source").agg(F.count("*").alias("k")).filter("k > 1").select("source").distinct()
+    size = cited.select("item", "annotator").distinct().groupBy("annotator").agg(F.count("*").alias("n"))
+    count = cited.join(shared, "source", "left_semi").groupBy("annotator", "source").agg(F.count("*").alias("c"))
+    return count.join(size, "annotator").filter((F.col("c") > POOLED * F.col("n")) & (F.col("n") >= 3)).groupBy("annotator").agg(F.max_by("source", "c").alias("pool"))
 
 
 def discover(votes: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -68,11 +74,11 @@ def discover(votes: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     more opinions tell of an annotator's errors. An empty table gives empty results.
     """
     flags = dependence(votes)
-    rows = votes.join(flags, "annotator", "left").withColumn("dependent", F.coalesce("dependent", F.lit(False)))
-    pooled = rows.filter("dependent").groupBy("item", "label").agg(F.count("*").alias("together"))
+    rows = votes.join(flags, "annotator", "left")
+    pooled = rows.filter("pool is not null").groupBy("item", "label", "pool").agg(F.count("*").alias("together"))
     sizes = rows.groupBy("item").agg(F.count("*").alias("n"))
-    rows = rows.join(pooled, ["item", "label"], "left").join(sizes, "item")
-    rows = written(rows.select("item", "annotator", "label", "n", F.when(F.col("dependent"), 1 / F.col("together")).otherwise(1.0).alias("share")), "votes")
+    rows = rows.join(pooled, ["item", "label", "pool"], "left").join(sizes, "item")
+    rows = written(rows.select("item", "annotator", "label", "n", F.coalesce(1 / F.col("together"), F.lit(1.0)).alias("share")), "votes")
     weights = None
     for _ in range(rounds):
         truth = _truths(rows, weights)

@@ -176,7 +176,7 @@ def load_config(kind: type, *layers: dict[str, Any]):
             raw = layer.get(f.name)
             if raw is None or raw == "":
                 continue
-            t = str(f.type)
+            t = getattr(f.type, "__name__", f.type)
             if t == "bool" and isinstance(raw, str):
                 if raw.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
                     raise ValueError(f"{f.name} is no boolean: {raw}")

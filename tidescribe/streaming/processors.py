@@ -24,7 +24,7 @@ def keyed(stream: DataFrame, key: str, make: Callable, step: Callable, end: Call
     """A stateful operator from a core: ``make()``, ``step(core, row) -> rows``, ``end(core) -> rows``.
 
     With ``time`` a session whose events stop is ended once the watermark passes it (event time);
-    otherwise only its `flush` row ends it. Works on batch tables in the same way.
+    otherwise only its `flush` row ends it. A finite table is `replayed` with the same result.
     """
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -50,10 +50,26 @@ def keyed(stream: DataFrame, key: str, make: Callable, step: Callable, end: Call
         if rows:
             yield pd.DataFrame([{key: k[0], **r} for r in rows], columns=columns)
 
+    if not stream.isStreaming:
+        return replayed(stream, key, make, step, end, schema)
     wait = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
     return stream.groupBy(key).applyInPandasWithState(run, schema, "core binary", "append", wait)
 
 
+def replayed(df: DataFrame, key: str, make: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
+    """ST26: the batch twin: every session replayed in order by the same core, then ended."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        core, rows = make(), []
+        for r in pdf.sort_values("seq", kind="stable").to_dict("records"):
+            rows += end(core) if r.get("kind") == "flush" else step(core, r)
+        rows += end(core)
+        return pd.DataFrame([{key: k[0], **r} for r in rows], columns=columns)
+
+    return df.groupBy(key).applyInPandas(run, schema)
+
+
 def utterances(stream: DataFrame, hold: bool = True, time: str | None = None) -> DataFrame:
     """ST02, ST18: utterances of chunk rows ``session, seq, kind, index, start, end, rms``; tiny ones held and merged."""
 
@@ -145,33 +161,6 @@ def sliding_windows(chunks: DataFrame, window: float, hop: float) -> DataFrame:
     return out.filter(full).select("session", (F.col("w") * hop).alias("window_start"), (F.col("w") * hop + window).alias("window_end"), "n")
 
 
-def batch_events(df: DataFrame, make: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
-    """ST26: the batch twin: every session replayed in one group by the same core."""
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        core, rows = make(), []
-        for r in pdf.sort_values("seq", kind="stable").to_dict("records"):
-            rows += end(core) if r.get("kind") == "flush" else step(core, r)
-        rows += end(core)
-        return pd.DataFrame([{"session": k[0], **r} for r in rows], columns=columns)
-
-    return df.groupBy("session").applyInPandas(run, schema)
-
-
-def batch_multiplex(df: DataFrame) -> DataFrame:
-    """ST17, ST26 for finite tables of the rows of `multiplex`."""
-
-    def step(core: cores.TranscriptMux, r: dict) -> list[dict]:
-        if r["kind"] == "asr":
-            events = core.asr(r["start"], r["end"], r["text"])
-        else:
-            events = core.turn({"id": r["id"], "start": r["start"], "end": r["end"], "speaker": r["speaker"], "confidence": r["confidence"], "final": r["kind"] == "final"})
-        return [_segment_event(e, int(r["seq"])) for e in events]
-
-    return batch_events(df, cores.TranscriptMux, step, lambda core: [_segment_event(e, 2**40) for e in core.flush()], EVENTS)
-
-
 def event_profile(events: DataFrame) -> DataFrame:
     """AG11: one row: events by kind, ids, speakers, first start and last end (D1: corrections are counted)."""
     kind = lambda s: F.count_if(F.col("type").endswith(s))

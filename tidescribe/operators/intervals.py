@@ -1,19 +1,24 @@
 """Interval algebra on tables keyed by source (inventory IV01-IV11, IV16, IV19-IV25).
 
-Everything is built-in: windows within a key, equi-joins on time cells for range joins (a row
-goes to every cell it touches, a pair is kept in the cell of its common start, so a long source
-is split over tasks), and higher-order functions for arrays inside a row. Rows with a null end
-or start, or without positive length, take no part. Keys may be null (an entity of its own
-where only windows are used; null keys never join).
+Everything is built-in. Ordered passes run over time blocks of a key: a window inside the block,
+and what earlier blocks hand on (a greatest end, a sum, a last row) from a window over one
+summary row per block, so a busy source is never one task. Range joins are equi-joins on time
+cells (a row goes to every cell it touches, a pair is kept in the cell of its common start).
+Arrays inside a row use higher-order functions. Rows with a null end or start, or without
+positive length, take no part. Null keys are an entity of their own, but never range-join.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidescribe.operators.coverage import SPAN, merge_periods
+
 #: Fixed quality of boundary signals by method (IV11).
 QUALITY = {"silero_vad_gap": 1.00, "whisper_timestamp_gap": 0.80, "low_energy_gap": 0.30}
 
@@ -22,13 +27,62 @@ def usable(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     return df.filter(F.col(end) > F.col(start))
 
 
+def block_of(df: DataFrame, column: str) -> Column:
+    """Ten-minute block of a time column: whole numbers are milliseconds, others seconds."""
+    size = 600_000 if dict(df.dtypes)[column] in ("int", "bigint") else 600.0
+    return F.floor(F.col(column) / size)
+
+
+def with_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its block's summary columns; keys match null-safely."""
+    right = summary.withColumnsRenamed({k: f"_r_{k}" for k in keys} | {"_b": "_r_b"})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_b") == F.col("_r_b")])
+    return df.join(right, on).drop(*[f"_r_{k}" for k in keys], "_r_b")
+
+
+def earlier(keys: list[str]):
+    """Window over the summaries of a key's earlier blocks."""
+    return Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered_groups(df: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFrame:
+    """Adds ``_g``: how many rows up to this one of the key have ``flag`` 1; blocks ``_b`` follow the order."""
+    # Rows that tie in the order: the flagged one comes first, as it did where it was flagged.
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order, F.desc(flag))
+    sums = df.groupBy(*keys, "_b").agg(F.sum(flag).alias("_n"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0))).drop("_n")
+    rows = with_summary(df, sums, keys)
+    return rows.withColumn("_g", F.col("_base") + F.sum(flag).over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_base")
+
+
+def reached(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Adds ``_reach``: the greatest end of all earlier rows of the key (null at the first)."""
+    tops = df.groupBy(*keys, "_b").agg(F.max(end).alias("_top"))
+    tops = tops.withColumn("_carry", F.max("_top").over(earlier(keys))).drop("_top")
+    before = F.max(end).over(Window.partitionBy(*keys, "_b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    return with_summary(df, tops, keys).withColumn("_reach", F.greatest("_carry", before)).drop("_carry")
+
+
+def scale_of(df: DataFrame, column: str) -> int:
+    """Units per second-like value: whole numbers stay, others count in millionths (times have six decimals)."""
+    return 1 if dict(df.dtypes)[column] in ("int", "bigint") else 1_000_000
+
+
+def whole(c: Column, scale: int) -> Column:
+    return c.cast("long") if scale == 1 else F.round(c * scale).cast("long")
+
+
 def merge(df: DataFrame, keys: list[str], max_gap: float = 0.0, start: str = "start", end: str = "end") -> DataFrame:
-    """IV01: intervals that overlap, touch or lie at most ``max_gap`` apart become one."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = usable(df, start, end).select(*keys, start, end).withColumn("_new", F.coalesce((F.col(start) > reach + max_gap).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_g", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    """IV01: intervals that overlap, touch or lie at most ``max_gap`` apart become one.
+
+    By the mergeable lists of `coverage`, in one shuffle by time block.
+    """
+    n = scale_of(df, start)
+    gap = round(max_gap * n)
+    rows = usable(df, start, end).select(*keys, whole(F.col(start), n).alias("_s"), (whole(F.col(end), n) + gap).alias("_e"))
+    out = merge_periods(rows, keys, "_s", "_e", block=600_000 if n == 1 else 600 * n).filter("kind = 'period'")
+    back = lambda c: c if n == 1 else c / n
+    return out.select(*keys, back(F.col("_s")).alias(start), back(F.col("_e") - gap).alias(end))
 
 
 def merge_array(spans: Column, max_gap: float = 0.0) -> Column:
@@ -47,9 +101,13 @@ def merge_array(spans: Column, max_gap: float = 0.0) -> Column:
 
 def bridged_groups(df: DataFrame, keys: list[str], gap: float, start: str = "start", end: str = "end") -> DataFrame:
     """IV05: ``group_no`` grows where the start lies more than ``gap`` after the previous row's end."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    rows = usable(df, start, end).withColumn("_new", F.coalesce((F.col(start) - F.lag(end).over(by) > gap).cast("int"), F.lit(0)))
-    return rows.withColumn("group_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = usable(df, start, end)
+    rows = rows.withColumn("_b", block_of(rows, start))
+    last = rows.groupBy(*keys, "_b").agg(F.max_by(end, F.struct(start, end)).alias("_end"))
+    last = last.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_end")
+    before = F.coalesce(F.lag(end).over(Window.partitionBy(*keys, "_b").orderBy(start, end)), F.col("_before"))
+    rows = with_summary(rows, last, keys).withColumn("_new", F.coalesce((F.col(start) - before > gap).cast("int"), F.lit(0)))
+    return numbered_groups(rows, keys, "_new", [start, end]).withColumnRenamed("_g", "group_no").drop("_new", "_before", "_b")
 
 
 def gaps(df: DataFrame, keys: list[str], minimum: float, low: float | None = None, high: float | None = None, start: str = "start", end: str = "end") -> DataFrame:
@@ -102,15 +160,45 @@ def intersection_length(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     return union_length(both, keys)
 
 
+def _busy(least: int):
+    """Arrow function: sorted steps of a block, the count before it and the next block's first time to busy spans."""
+
+    def run(times: pa.Array, steps: pa.Array, base: pa.Array, after: pa.Array) -> pa.Array:
+        times, steps, base, after = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (times, steps, base, after))
+        size = np.diff(times.offsets.to_numpy())
+        t, d = times.flatten().to_numpy(), steps.flatten().to_numpy()
+        row = np.repeat(np.arange(len(times)), size)
+        end = np.cumsum(size)
+        total = np.cumsum(d)
+        begin = np.concatenate([[0], total])[end - size]
+        active = total - begin[row] + base.to_numpy()[row]
+        nxt = np.append(t[1:], 0)
+        last = after.fill_null(-(2**62)).to_numpy(zero_copy_only=False)
+        nxt[end[size > 0] - 1] = last[size > 0]
+        hot = (active >= least) & (nxt > t)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[hot], minlength=len(times)))]).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(t[hot]), pa.array(nxt[hot])], ["s", "e"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return F.arrow_udf(run, SPAN)
+
+
 def concurrency(df: DataFrame, keys: list[str], pad: float = 0.0, least: int = 2) -> DataFrame:
-    """IV09: regions where ``least`` or more intervals run at once, padded and merged (sweep line)."""
-    rows = usable(df)
-    events = rows.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(rows.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d")))
-    events = events.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
-    by = Window.partitionBy(*keys).orderBy("t")
-    steps = events.withColumns({"active": F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)), "n": F.lead("t").over(by)})
-    hot = steps.filter((F.col("active") >= least) & F.col("n").isNotNull())
-    return merge(hot.select(*keys, (F.col("t") - pad).alias("start"), (F.col("n") + pad).alias("end")), keys)
+    """IV09: regions where ``least`` or more intervals run at once, padded and merged (sweep line).
+
+    Starts and ends are summed per instant; a block holds at most one step per instant, and what
+    runs at its start comes from the sums of earlier blocks.
+    """
+    n = scale_of(df, "start")
+    rows = usable(df).select(*keys, whole(F.col("start"), n).alias("s"), whole(F.col("end"), n).alias("e"))
+    events = rows.select(*keys, F.inline(F.array(F.struct(F.col("s").alias("t"), F.lit(1).cast("long").alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).cast("long").alias("d")))))
+    events = events.groupBy(*keys, "t").agg(F.sum("d").alias("d")).withColumn("_b", F.floor(F.col("t") / (600_000 if n == 1 else 600 * n)))
+    block = events.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("t", "d"))).alias("x"), F.sum("d").alias("_d"), F.min("t").alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    block = block.withColumns({"_base": F.coalesce(F.sum("_d").over(earlier(keys)), F.lit(0)), "_next": F.lead("_first").over(over)})
+    hot = block.select(*keys, F.inline(_busy(least)(F.col("x.t"), F.col("x.d"), F.col("_base"), F.col("_next"))))
+    back = (lambda c, by: c + round(by)) if n == 1 else (lambda c, by: c / n + by)
+    return merge(hot.select(*keys, back(F.col("s"), -pad).alias("start"), back(F.col("e"), pad).alias("end")), keys)
 
 
 def low_energy_islands(blocks: DataFrame, keys: list[str], share: float = 0.2, flat: float = 1.2, shortest: float = 0.12) -> DataFrame:
@@ -164,11 +252,17 @@ def risky_boundaries(segments: DataFrame, refs: DataFrame, keys: list[str], coll
 
 def speaker_runs(df: DataFrame, source: str, speaker: str, within: float = 1.0) -> DataFrame:
     """IV20: runs of one speaker at most ``within`` apart, and rows of silence (speaker null) between."""
-    by = Window.partitionBy(source).orderBy("start", "end")
     rows = usable(df).select(source, speaker, "start", "end")
-    new = (F.lag(speaker).over(by) != F.col(speaker)) | (F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) + within)
-    rows = rows.withColumn("_n", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_g", F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = reached(rows.withColumn("_b", block_of(rows, "start")), [source], "start", "end")
+    last = rows.groupBy(source, "_b").agg(F.max_by(speaker, F.struct("start", "end", speaker)).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(source).orderBy("_b"))).drop("_last")
+    order = ["start", "end", speaker]
+    said = F.coalesce(F.lag(speaker).over(Window.partitionBy(source, "_b").orderBy(*order)), F.col("_before"))
+    new = (said != F.col(speaker)) | (F.col("start") > F.col("_reach") + within)
+    rows = with_summary(rows, last, [source]).withColumn("_n", F.coalesce(new.cast("int"), F.lit(0)))
+    rows = numbered_groups(rows, [source], "_n", order)
     runs = rows.groupBy(source, "_g").agg(F.first(speaker).alias(speaker), F.min("start").alias("start"), F.max("end").alias("end"))
+    # Runs per source are few against its turns; the silences lie where the reach of all before ends.
     over = Window.partitionBy(source).orderBy("_g")
     reach = F.max("end").over(over.rowsBetween(Window.unboundedPreceding, 0))
     quiet = runs.select(source, F.lit(None).cast("string").alias(speaker), reach.alias("start"), F.lead("start").over(over).alias("end")).filter("end > start")

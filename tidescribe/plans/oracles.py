@@ -96,8 +96,8 @@ SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'reject' WHEN trim(text) = t
     "embedding_nearest": f"""WITH {CENTROID}, c AS (SELECT speaker, list(x ORDER BY i) v FROM cents GROUP BY 1), q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings),
 d AS (SELECT vec_id, speaker, 1 - list_inner_product(e, v) / sqrt(list_inner_product(e, e)) dist FROM q, c)
 SELECT vec_id, arg_min(speaker, dist) AS speaker, round(min(dist), 5) AS distance FROM d GROUP BY 1""",
-    "speaker_runs": f"""WITH {CUR}, f AS (SELECT source_id, speaker, s, e, CASE WHEN lag(speaker) OVER w <> speaker OR s > max(e) OVER (PARTITION BY source_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 1 ELSE 0 END g FROM cur WINDOW w AS (PARTITION BY source_id ORDER BY s, e)),
-h AS (SELECT *, sum(g) OVER (PARTITION BY source_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) i FROM f), r AS (SELECT source_id, i, any_value(speaker) speaker, min(s) s, max(e) e FROM h GROUP BY 1, 2),
+    "speaker_runs": f"""WITH {CUR}, f AS (SELECT source_id, speaker, s, e, CASE WHEN lag(speaker) OVER w <> speaker OR s > max(e) OVER (PARTITION BY source_id ORDER BY s, e, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 1 ELSE 0 END g FROM cur WINDOW w AS (PARTITION BY source_id ORDER BY s, e, speaker)),
+h AS (SELECT *, sum(g) OVER (PARTITION BY source_id ORDER BY s, e, speaker ROWS UNBOUNDED PRECEDING) i FROM f), r AS (SELECT source_id, i, any_value(speaker) speaker, min(s) s, max(e) e FROM h GROUP BY 1, 2),
 q AS (SELECT source_id, max(e) OVER (PARTITION BY source_id ORDER BY i ROWS UNBOUNDED PRECEDING) s, lead(s) OVER (PARTITION BY source_id ORDER BY i) e FROM r)
 SELECT source_id, speaker, s AS start_ms, e AS end_ms FROM r UNION ALL SELECT source_id, NULL, s, e FROM q WHERE e > s""",
     "event_windows": """SELECT user_id, h * 3600 - k * 3600 AS start_s, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM (

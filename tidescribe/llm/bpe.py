@@ -301,7 +301,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = max(1, batch.column(1).nbytes)
-            step = max(1, int(batch.num_rows * min(1.0, 8_000_000 / size)))
+            step = max(1, int(batch.num_rows * min(1.0, 3_000_000 / size)))
             for i in range(0, batch.num_rows, step):  # bounded work memory whatever the texts' lengths
                 part = batch.slice(i, step)
                 ids = encode_batch(part.column(1), vocabulary)

@@ -112,7 +112,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
         def run_batches(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             test = shared.value
             for batch in batches:
-                step = max(1, int(batch.num_rows * min(1.0, 16_000_000 / max(1, batch.column(1).nbytes))))
+                step = max(1, int(batch.num_rows * min(1.0, 4_000_000 / max(1, batch.column(1).nbytes))))
                 for i in range(0, batch.num_rows, step):
                     part = batch.slice(i, step)
                     m = test.matches(*textops.fold_codes(part.column(1)))

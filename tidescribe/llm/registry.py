@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p5_found": streamjoin.P5_SQL}
+    return {"p5_found": streamjoin.P5_SQL, "p10_found": spans.P10_SQL, "p10_shared": spans.P10_SHARED_SQL}

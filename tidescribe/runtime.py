@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors: sent as a zip, once per application.
+
+    Not needed, and skipped, where the workers inherit a PYTHONPATH that holds the package.
+    """
+    root = Path(__file__).resolve().parent
+    here = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or os.path.realpath(root.parent) in here:
+        return
+    file = Path(tempfile.mkdtemp(prefix="tidescribe-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(file))
+    _SHIPPED.add(app)

@@ -103,4 +103,11 @@ SELECT source_id, speaker, s AS start_ms, e AS end_ms FROM r UNION ALL SELECT so
     "event_windows": """SELECT user_id, h * 3600 - k * 3600 AS start_s, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM (
   SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) h, CAST(round(value * 100) AS BIGINT) c FROM events), (VALUES (0), (1)) v(k) GROUP BY 1, 2""",
     "text_identities": "SELECT sha256(text) AS sha, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "event_percentiles": """SELECT event_type, count(*) AS hops, round(quantile_cont(value, 0.5), 6) AS runtime_p50, round(quantile_cont(value, 0.95), 6) AS runtime_p95,
+round(quantile_cont(CAST(floor(second(ts)) AS DOUBLE), 0.5), 6) AS latency_p50, round(quantile_cont(CAST(floor(second(ts)) AS DOUBLE), 0.95), 6) AS latency_p95 FROM events GROUP BY 1""",
+    "turns_with_words": f"""WITH {CUR}, {ASR} SELECT source_id, count(*) AS n FROM cur WHERE EXISTS (SELECT 1 FROM asr WHERE asr.source_id = cur.source_id AND asr.s < cur.e AND asr.e > cur.s) GROUP BY 1""",
+    "queue_sizes": f"""WITH {CLIPS}, n AS (SELECT audio_sha256, count(*) n FROM clips GROUP BY 1),
+x AS (SELECT n, CASE WHEN trim(coalesce(text, '')) = '' THEN 'drop' WHEN n > 1 OR speech_duration > 20 THEN 'review' ELSE 'keep' END d FROM clips JOIN n USING (audio_sha256))
+SELECT count(*) AS "all", count(*) FILTER (WHERE d = 'review') AS review, count(*) FILTER (WHERE d = 'drop') AS "drop", count(*) FILTER (WHERE d = 'correct') AS correct, count(*) FILTER (WHERE d = 'keep') AS keep,
+count(*) FILTER (WHERE n > 1) AS reviewed, count(*) FILTER (WHERE n <= 1) AS unreviewed FROM x""",
 }

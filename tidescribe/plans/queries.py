@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescribe.functions import text as tx
-from tidescribe.operators import evaluate, mapping, planner, quality, selection, speakers
+from tidescribe.operators import evaluate, mapping, planner, quality, reports, selection, speakers
 from tidescribe.operators import intervals as iv
 from tidescribe.operators.coverage import current_turns
 from tidescribe.runtime import table
@@ -330,3 +330,28 @@ def text_identities(spark, d):
     """HSH01, STR02: texts that several documents share, by hash."""
     rows = table(spark, d, "documents").filter("text is not null").select(F.sha2(F.col("text"), 256).alias("sha"))
     return rows.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def event_percentiles(spark, d):
+    """AG12, NUM07: interpolated percentiles of two measures per kind of event."""
+    rows = table(spark, d, "events").select("event_type", F.col("value").alias("runtime_seconds"), F.second(F.col("ts").cast("timestamp")).cast("double").alias("latency_seconds"))
+    out = reports.hop_summary(rows, "event_type")
+    return out.select("event_type", "hops", *[F.round(c, 6).alias(c) for c in ("runtime_p50", "runtime_p95", "latency_p50", "latency_p95")])
+
+
+def turns_with_words(spark, d):
+    """JN18: current turns during which something was recognised, per source."""
+    return reports.with_overlap(turns(spark, d), asr(spark, d).select("source_id", "start", "end"), ["source_id"], 30_000).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+def window_evidence(spark, d):
+    """AG15 over the owned windows of all sources."""
+    return reports.evidence_coverage(speech_windows(spark, d))
+
+
+def queue_sizes(spark, d):
+    """AG14: review queue of the clips: those of long or repeated audio, reviewed where a later export exists."""
+    rows = _clips(spark, d)
+    n = rows.groupBy("audio_sha256").agg(F.count("*").alias("n"))
+    rows = rows.join(n, "audio_sha256").withColumn("disposition", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "drop").when((F.col("n") > 1) | (F.col("speech_duration") > 20), "review").otherwise("keep"))
+    return reports.queue_counts(rows, "disposition", F.col("n") > 1)

@@ -12,7 +12,7 @@ NAMES = [
     "asr_durations", "scorecard", "segments_latest", "duplicate_audio", "manifest", "manifest_counts", "generation_map", "label_consensus", "sources_in_both", "sources_without_turns",
     "source_split", "selection_report", "fastest_clips", "rolling_prompts", "top_languages", "chunk_status", "script_counts", "import_preview", "review_actions", "embedding_centroids",
     "embedding_nearest", "speech_windows", "boundary_scores", "speaker_runs", "live_transcript", "subtitles", "term_counts", "language_spans", "annotator_scores", "neighbour_context",
-    "merged_short", "event_windows", "speaker_identities", "text_identities",
+    "merged_short", "event_windows", "speaker_identities", "text_identities", "event_percentiles", "turns_with_words", "window_evidence", "queue_sizes",
 ]
 
 

@@ -85,12 +85,15 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def unit_of(df: DataFrame, file: str, source: str, own: Column) -> DataFrame:
-    """``df`` with ``unit``: the root of each row's file name or source, or its own name if it has neither."""
+    """``df`` with ``unit``: the root of each row's file name or source, or its own name if it has neither.
+
+    Null and blank names and sources are none. A column ``unit`` of ``df`` is replaced, others stay.
+    """
     names = df.select(file).distinct().withColumn("_f", F.concat(F.lit("f:"), recording_key(F.col(file)))).filter("_f is not null")
     held = df.join(names, file, "left").withColumn("_s", F.when(F.trim(source) != "", F.concat(F.lit("s:"), F.col(source))))
     root = components(held.select(F.col("_f").alias("u"), F.col("_s").alias("v")).distinct())
     held = held.withColumn("_v", F.coalesce("_f", "_s", F.concat(F.lit("r:"), own)))
-    return held.join(root.withColumnRenamed("vertex", "_v"), "_v", "left").withColumn("unit", F.coalesce("root", "_v")).drop("_f", "_s", "_v", "root")
+    return held.join(root.toDF("_v", "_root"), "_v", "left").withColumn("unit", F.coalesce("_root", "_v")).drop("_f", "_s", "_v", "_root")
 
 
 def assign_splits(units: DataFrame, configs: DataFrame, buckets: int = 256) -> DataFrame:

@@ -211,6 +211,19 @@ def test_p4_recall_at_the_limit(spark):
     assert len(want & got) / len(want) >= 0.95
 
 
+def test_p4_finds_pairs_that_keep_no_window_of_eight(spark):
+    """An edit in every seventh place, among many training texts that share the stretches between."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh") for _ in range(160))
+    edited = "".join("z" if i % 7 == 6 else c for i, c in enumerate(base))
+    data = [(1, "train/a.wav", base), (2, "test/a.wav", edited)]
+    for i in range(300):  # more edits than allowed, so that common windows are frequent
+        data.append((10 + i, "train/b.wav", "".join(rng.choice("qrst") if rng.random() < 0.2 else c for c in base)))
+    want = {(i, 2) for i, f, t in data if f.startswith("train") and lev(t, edited) <= int(0.15 * max(len(t), len(edited)))}
+    got = {(r.train_id, r.other_id) for r in overlap.cross_split(spark.createDataFrame(data, "id long, f string, t string"), "id", "f", "t").collect()}
+    assert (1, 2) in want and got == want
+
+
 def test_p4_edge_cases(spark):
     long = "the quick brown fox jumps over the lazy dog again"
     data = [(1, None, long), (1, None, long), (2, ".\\Test\\x.wav", long.upper()), (3, "val/x", "short"), (4, "train/x", None), (5, "./dev/x", ""), (6, "x.wav", long + "!")]

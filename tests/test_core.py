@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import wave
 
 import numpy as np
@@ -290,6 +291,20 @@ def test_best_overlap_ties(spark):
     assert {r.i: r.speaker for r in mapping.best_overlap(left, turns, "k", "i", 3.0).collect()} == {1: "early", 2: "UNKNOWN", 3: "UNKNOWN"}
 
 
+def test_rolling_prompts_keep_600_characters(spark, sf):
+    """The registered query against its SQL with the 600 characters of the reference and of SURVEY WN06."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW asr_segments AS SELECT * FROM '{sf}/asr_segments.parquet'")
+    sql = entry.oracle_sql()["rolling_prompts"]
+    want = con.sql(f"select asr_id, prompt from ({re.sub(r', [0-9]+[)] AS prompt', ', 600) AS prompt', sql)})").fetchall()
+    got = [(r.asr_id, r.prompt) for r in entry.queries()["rolling_prompts"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and max(len(p) for _, p in got) > 120
+
+
 def test_context_windows(spark):
     rows = spark.createDataFrame([("s", 0.0, 1.0, "one"), ("s", 1.2, 2.0, "two"), ("s", 5.0, 6.0, "three"), ("s", 6.1, 9.0, "four"), ("s", 9.5, 10.0, "five")], "k string, start double, end double, t string")
     got = [r.context for r in mapping.neighbour_context(rows, "k", "t", 1.5, 3.0).orderBy("start").collect()]

@@ -191,7 +191,7 @@ def rolling_prompts(spark, d):
     """WN06: prompt of every recognised segment from the three before it in its source."""
     rows = asr(spark, d).filter("text is not null")
     rows = rows.withColumn("at", F.struct("start", "asr_id"))
-    return mapping.rolling_prompt(rows, "source_id", "at", "text", 3, 120).select("asr_id", "prompt")
+    return mapping.rolling_prompt(rows, "source_id", "at", "text", 3, 600).select("asr_id", "prompt")
 
 
 def top_languages(spark, d):

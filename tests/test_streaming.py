@@ -1,5 +1,7 @@
 """Streaming cores, and the same on a stream and in batch."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,19 @@ def test_multiplexer_on_a_stream_equals_batch(spark, tmp_path):
     assert profile.first().ids == 3 and processors.compare_profiles(profile, profile).first().verdict == "comparable"
 
 
+def test_live_transcript_meets_late_rows(spark, tmp_path):
+    """A segment that arrives after hours still meets its turns, and a late turn its segment."""
+    from tidescribe.plans import queries
+
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
+    turns = [("s", at(0), "t1", 0.0, 5.0, "a", True, 0.9), ("s", at(1), "t2", 9000.0, 9005.0, "b", True, 0.9), ("s", at(4), "t1", 0.0, 5.0, "c", True, 0.9)]
+    spark.createDataFrame(turns, "source_id string, arrived_at timestamp_ntz, turn_id string, start_sec double, end_sec double, speaker_id string, is_final boolean, confidence double").write.parquet(f"{tmp_path}/diarization_turns.parquet")
+    asr = [("s", at(2), 1, 1.0, 4.0, "late"), ("s", at(3), 2, 9001.0, 9004.0, "now")]
+    spark.createDataFrame(asr, "source_id string, arrived_at timestamp_ntz, asr_id long, start_sec double, end_sec double, text string").write.parquet(f"{tmp_path}/asr_segments.parquet")
+    got = [(r.type, r.text, r.speaker) for r in queries.live_transcript(spark, str(tmp_path)).orderBy("seq", "version").collect() if r.type != "transcript.partial"]
+    assert got == [("transcript.final", "late", "a"), ("transcript.final", "now", "b"), ("transcript.update", "late", "c")]
+
+
 def test_utterances_and_timeline_on_tables(spark):
     chunks = spark.createDataFrame([("s", i, "chunk", i, i * 0.2, i * 0.2 + 0.2, 0.1 if 2 <= i < 9 else 0.0) for i in range(15)] + [("s", 99, "flush", 0, 0.0, 0.0, 0.0)], "session string, seq long, kind string, index long, start double, end double, rms double")
     assert [(round(r.start, 1), round(r.end, 1)) for r in processors.utterances(chunks).collect()] == [(0.4, 1.8)]

@@ -269,7 +269,7 @@ def live_transcript(spark, d):
     t = table(spark, d, "diarization_turns").filter("end_sec > start_sec and speaker_id is not null")
     t = t.select(F.col("source_id").alias("session"), "arrived_at", F.when(F.coalesce("is_final", F.lit(False)), "final").otherwise("turn").alias("kind"), F.col("turn_id").alias("id"), F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), F.col("speaker_id").alias("speaker"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit(None).cast("string").alias("text"))
     rows = a.unionByName(t).distinct().withColumn("seq", F.unix_micros(F.col("arrived_at").cast("timestamp"))).drop("arrived_at")
-    return processors.multiplex(rows, keep_seconds=120.0)
+    return processors.multiplex(rows, keep_seconds=None)
 
 
 def subtitles(spark, d):

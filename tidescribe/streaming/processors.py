@@ -112,10 +112,11 @@ def _segment_event(e: dict, seq: int) -> dict:
     return {"seq": seq, "type": e["type"], "id": s["id"], "start": s["start"], "end": s["end"], "speaker": s["speaker"], "text": s["text"], "version": s["revision"], "previous_speaker": p and p["speaker"]}
 
 
-def multiplex(stream: DataFrame, keep_seconds: float = 3600.0, time: str | None = None) -> DataFrame:
+def multiplex(stream: DataFrame, keep_seconds: float | None = 3600.0, time: str | None = None) -> DataFrame:
     """ST12-ST14, ST17, ST22: transcript events of tagged rows ``session, seq, kind, id, start, end, speaker, confidence, text``.
 
-    Kinds: asr, turn (provisional), final (committed turn), delete, correct, flush.
+    Kinds: asr, turn (provisional), final (committed turn), delete, correct, flush. State older than
+    ``keep_seconds`` behind the row is evicted; None keeps a session's whole state, for tables that are replayed.
     """
 
     def step(core: cores.TranscriptMux, r: dict) -> list[dict]:
@@ -129,7 +130,8 @@ def multiplex(stream: DataFrame, keep_seconds: float = 3600.0, time: str | None
         else:
             core.drop_turn(r["id"])
             events = []
-        core.evict(r["end"] - keep_seconds if r["end"] == r["end"] and r["end"] is not None else 0.0)
+        if keep_seconds is not None:
+            core.evict(r["end"] - keep_seconds if r["end"] == r["end"] and r["end"] is not None else 0.0)
         return [_segment_event(e, int(r["seq"])) for e in events]
 
     return keyed(stream, "session", cores.TranscriptMux, step, lambda core: [_segment_event(e, 2**40) for e in core.flush()], EVENTS, time=time)

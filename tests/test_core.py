@@ -291,6 +291,33 @@ def test_best_overlap_ties(spark):
     assert {r.i: r.speaker for r in mapping.best_overlap(left, turns, "k", "i", 3.0).collect()} == {1: "early", 2: "UNKNOWN", 3: "UNKNOWN"}
 
 
+def test_neighbour_context_equals_a_walk_back(spark):
+    """The nearest row within the gap is taken however long, and as many rows as the seconds allow."""
+    rng, rows, at = random.Random(12), [], 0
+    for i in range(300):  # milliseconds; stretches of very short rows, long rows, overlaps and pauses
+        at += rng.choice([0, 100, 700, 1500, 1501, -50]) if i % 60 < 30 else 10
+        d = rng.choice([400, 2000, 4000, 9000]) if i % 60 < 30 else rng.choice([100, 150])
+        rows.append((rng.choice("ab"), at / 1000, (at + d) / 1000, f"w{i}"))
+        at += d
+    want = {}
+    for k in "ab":
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])
+        for i, r in enumerate(own):
+            texts, used, j = [], 0, i - 1
+            while j >= 0 and own[j + 1][1] - own[j][2] <= 1.5:
+                d = round((own[j][2] - own[j][1]) * 1000)
+                if used + d > 4000 and texts:
+                    break
+                texts.insert(0, own[j][3])
+                used, j = used + d, j - 1
+                if used >= 4000:
+                    break
+            want[r[3]] = " ".join(texts)
+    assert max(len(t.split()) for t in want.values()) > 8
+    got = {r.t: r.context for r in mapping.neighbour_context(spark.createDataFrame(rows, "k string, start double, end double, t string"), "k", "t").collect()}
+    assert got == want
+
+
 def test_rolling_prompts_keep_600_characters(spark, sf):
     """The registered query against its SQL with the 600 characters of the reference and of SURVEY WN06."""
     import duckdb

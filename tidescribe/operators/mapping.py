@@ -125,22 +125,28 @@ def save_review(review: Column, original: Column) -> Column:
     return F.when(text == "", "reject").when(text == F.trim(F.coalesce(original, F.lit(""))), "accept").otherwise("correct")
 
 
-def neighbour_context(df: DataFrame, key: str, text: str, max_gap: float = 1.5, seconds: float = 4.0, most: int = 8) -> DataFrame:
+def neighbour_context(df: DataFrame, key: str, text: str, max_gap: float = 1.5, seconds: float = 4.0) -> DataFrame:
     """JN16: ``context``: texts of the rows just before, while each gap and the seconds in sum allow.
 
-    A frame of the ``most`` rows before is walked back inside the row; only near rows can matter.
+    The first row within the gap is taken however long it is. Seconds are summed (in microseconds)
+    over stretches without a longer gap, so the rows that fit are a range of that sum, of any number.
     """
     by = Window.partitionBy(key).orderBy("start", "end")
-    item = F.struct("start", "end", F.col(text).alias("text"))
-    rows = df.withColumn("_p", F.reverse(F.collect_list(item).over(by.rowsBetween(-most, -1))))
-    start = F.struct(F.col("start").alias("edge"), F.lit(0.0).alias("used"), F.lit(False).alias("stop"), F.array().cast("array<string>").alias("texts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        d = x["end"] - x["start"]
-        ok = ~acc["stop"] & (acc["edge"] - x["end"] <= max_gap) & (acc["used"] + d <= seconds)
-        return F.struct(F.when(ok, x["start"]).otherwise(acc["edge"]).alias("edge"), F.when(ok, acc["used"] + d).otherwise(acc["used"]).alias("used"), (~ok).alias("stop"), F.when(ok, F.array_prepend(acc["texts"], F.coalesce(x["text"], F.lit("")))).otherwise(acc["texts"]).alias("texts"))
-
-    return rows.withColumn("context", F.aggregate("_p", start, step, lambda a: F.array_join(a["texts"], " "))).drop("_p")
+    rows = df.withColumns({"_n": F.row_number().over(by), "_gap": F.col("start") - F.lag("end").over(by)})
+    rows = rows.withColumn("_d", F.coalesce(F.greatest(F.round((F.col("end") - F.col("start")) * 1_000_000).cast("long"), F.lit(0)), F.lit(0)))
+    in_order = Window.partitionBy(key).orderBy("_n")
+    rows = rows.withColumn("_run", F.count_if(F.col("_gap") > max_gap).over(in_order))
+    run = Window.partitionBy(key, "_run")
+    sums = run.orderBy("_n")
+    rows = rows.withColumns({"_s": F.coalesce(F.sum("_d").over(sums.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_before": F.lag(F.struct("_n", F.coalesce(text, F.lit("")).alias("text"))).over(sums)})
+    most = round(seconds * 1_000_000)
+    item = F.struct("_n", "_s", "_d", F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("_p", F.collect_list(item).over(run.orderBy("_s").rangeBetween(-most, 0)))
+    # Once the seconds are used up the walk ends, so a row of no length is not taken at the very edge.
+    fits = lambda x: (x["_n"] < F.col("_before._n")) & ((x["_d"] > 0) | (F.col("_s") - x["_s"] < most))
+    texts = F.transform(F.array_sort(F.filter("_p", fits)), lambda x: x["text"])
+    context = F.when(F.col("_before").isNull(), "").otherwise(F.array_join(F.array_append(texts, F.col("_before.text")), " "))
+    return rows.withColumn("context", context).drop("_n", "_gap", "_d", "_run", "_s", "_before", "_p")
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -296,6 +296,13 @@ def test_consensus_outweighs_a_pool_of_copies(spark):
     assert min(w[f"good{i}"] for i in range(4)) > max(w[f"pool{i}"] for i in range(6))
 
 
+def test_every_annotator_has_a_row(spark):
+    data = [(1, 1, "a", "yes"), (2, 1, "b", "yes"), (3, 1, "c", "no"), (4, 2, "a", "yes"), (5, 2, "rare", "no"), (6, 3, "alone", "no")]
+    df = spark.createDataFrame([(p, i, a, t, None, p) for p, i, a, t in data], "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, submitted_at long")
+    got = {r.annotator: (r.opinions, r.error, r.weight) for r in consensus.discover(consensus.opinions(df))[1].collect()}
+    assert set(got) == {"a", "b", "c", "rare", "alone"} and got["rare"] == got["alone"] == (0, None, consensus.PRIOR) and got["c"][:2] == (1, 1.0)
+
+
 def test_opinions_of_dirty_rows(spark):
     schema = "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, submitted_at long, label string"
     df = spark.createDataFrame([(1, 1, "a", "Yes.", None, 5, "z"), (1, 1, "a", "Yes.", None, 5, "z"), (2, 1, "a", " ", [], 9, None), (3, 1, None, "yes", [None], 5, "z"), (4, None, "b", "no", [], 1, "z")], schema)

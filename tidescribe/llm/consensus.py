@@ -25,6 +25,8 @@ Z = statistics.NormalDist().inv_cdf(LEVEL)
 WRONG = 3.0
 #: Share of its cited opinions from which an annotator counts as dependent on one shared source.
 POOLED = 0.5
+#: Weight of an annotator of whose errors nothing is known.
+PRIOR = 0.3
 
 
 def fold(col: Column) -> Column:
@@ -71,7 +73,8 @@ def discover(votes: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """Truths ``item, label, support, total, voters`` and annotators ``annotator, weight, error, opinions``.
 
     Of equal support the label of more voters, then the smaller hash wins. Only items of three or
-    more opinions tell of an annotator's errors. An empty table gives empty results.
+    more opinions tell of an annotator's errors; who has none of them has no error, opinions 0 and
+    the weight PRIOR that the truths are found with. An empty table gives empty results.
     """
     flags = dependence(votes)
     rows = votes.join(flags, "annotator", "left")
@@ -87,14 +90,15 @@ def discover(votes: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
         bound = (F.col("e") + 0.5) / chi2_low(F.col("opinions") + 1)
         u = F.least(F.greatest(bound, F.lit(0.001)), F.lit(0.99))
         weights = cut(seen.select("annotator", F.greatest(F.log(WRONG * (1 - u) / u), F.lit(0.01)).alias("weight"), (F.col("e") / F.col("opinions")).alias("error"), "opinions"))
-    return _truths(rows, weights), weights
+    everyone = rows.select("annotator").distinct().join(weights, "annotator", "left")
+    return _truths(rows, weights), everyone.select("annotator", F.coalesce("weight", F.lit(PRIOR)).alias("weight"), "error", F.coalesce("opinions", F.lit(0)).alias("opinions"))
 
 
 def _truths(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         w, held = F.lit(1.0), rows
     else:
-        w, held = F.coalesce("weight", F.lit(0.3)), rows.join(weights.select("annotator", "weight"), "annotator", "left")
+        w, held = F.coalesce("weight", F.lit(PRIOR)), rows.join(weights.select("annotator", "weight"), "annotator", "left")
     support = held.groupBy("item", "label").agg(F.round(F.sum(w * F.col("share")), 9).alias("s"), F.count("*").alias("c"))
     best = F.max(F.struct("s", "c", (-F.col("label")).alias("l"))).alias("b")
     out = support.groupBy("item").agg(best, F.sum("s").alias("total"), F.sum("c").alias("voters"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
@@ -123,6 +127,6 @@ def p7_items(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_annotators(spark, sf_dir: str) -> DataFrame:
-    """Per annotator: opinions on items of three or more, error rate against the consensus, weight."""
+    """Per annotator: opinions on items of three or more, error rate against the consensus (null without any), weight."""
     _, _, weights = _run(spark, sf_dir)
     return weights.select(F.col("annotator").alias("annotator_id"), "opinions", F.col("error").alias("error_rate"), "weight")

@@ -318,6 +318,19 @@ def test_neighbour_context_equals_a_walk_back(spark):
     assert got == want
 
 
+def test_carried_context_of_many_short_rows(spark):
+    rng = random.Random(3)
+    rows = [(k, i, "".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 40])))) for k in "xy" for i in range(150)] + [("x", 150, "l" * 500), ("x", 151, "z"), ("y", 150, ""), ("y", 151, "z")]
+    got = {(r.k, r.i): (r.previous_tail, r.context) for r in mapping.carried_context(spark.createDataFrame(rows, "k string, i int, t string"), "k", "i", "t", 3, 400).collect()}
+    for k in "xy":
+        before = []
+        for _, i, t in (r for r in rows if r[0] == k and r[2]):
+            assert got[k, i] == ((before[-1] if before else "")[-3:], " ".join(before)[-400:])
+            before.append(t)
+    short = spark.createDataFrame([("x", i, "ab") for i in range(200)], "k string, i int, t string")
+    assert max(len(r.context) for r in mapping.carried_context(short, "k", "i", "t").collect()) == 199 * 3 - 1
+
+
 def test_rolling_prompts_keep_600_characters(spark, sf):
     """The registered query against its SQL with the 600 characters of the reference and of SURVEY WN06."""
     import duckdb

@@ -192,12 +192,14 @@ def merge_short(df: DataFrame, key: str, short: float = 3.0, max_gap: float = 1.
 def carried_context(df: DataFrame, key: str, order: str, text: str, tail: int = 600, most: int = 3000) -> DataFrame:
     """WN08: ``previous_tail`` (end of the row before) and ``context`` (end of all rows before, at most ``most``).
 
-    The frame is the 64 rows before; a context of more, shorter rows starts later.
+    The frame is a range of the running sum of characters: every row in it brings the text of the
+    one before, so the row that is cut at the start of the context is there too.
     """
     by = Window.partitionBy(key).orderBy(order)
-    near = F.array_join(F.collect_list(F.col(text)).over(by.rowsBetween(-64, -1)), " ")
-    rows = df.filter(F.length(F.col(text)) > 0)
-    return rows.withColumns({"previous_tail": F.right(F.coalesce(F.lag(text).over(by), F.lit("")), F.lit(tail)), "context": F.right(near, F.lit(most))})
+    rows = df.filter(F.length(F.col(text)) > 0).withColumns({"_t": F.lag(text).over(by), "_n": F.row_number().over(by)})
+    rows = rows.withColumn("_c", F.sum(F.coalesce(F.length("_t") + 1, F.lit(0)).cast("long")).over(Window.partitionBy(key).orderBy("_n")))
+    near = F.collect_list(F.right("_t", F.lit(most))).over(Window.partitionBy(key).orderBy("_c").rangeBetween(-most, 0))
+    return rows.withColumns({"previous_tail": F.right(F.coalesce("_t", F.lit("")), F.lit(tail)), "context": F.right(F.array_join(near, " "), F.lit(most))}).drop("_t", "_n", "_c")
 
 
 def first_wins(col: Column) -> Column:

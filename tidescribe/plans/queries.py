@@ -301,7 +301,7 @@ def annotator_scores(spark, d):
 
 
 def neighbour_context(spark, d):
-    """JN16, WN08: texts just before every recognised segment, and the tail of the one before."""
+    """JN16: texts just before every recognised segment."""
     rows = asr(spark, d).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
     return mapping.neighbour_context(rows, "source_id", "text").select("asr_id", "context")
 

@@ -60,6 +60,22 @@ def test_mux_revisions():
     assert [e["segment"]["speaker"] for e in m.flush()] == [cores.UNKNOWN] and m.flush() == []
 
 
+def test_mux_relabels_when_a_committed_turn_moves():
+    m = cores.TranscriptMux()
+    turn = lambda i, s, e, sp, **more: m.turn({"id": i, "start": s, "end": e, "speaker": sp, "confidence": more.pop("c", 0.5), "final": True, **more})
+    kinds = lambda events: [(e["type"], e["segment"]["speaker"]) for e in events]
+    turn("t1", 0, 6, "a")
+    turn("t2", 6, 10, "b", version=1)
+    m.asr(4.0, 8.0, "both")
+    assert kinds(turn("t2", 5, 10, "b", version=1)) == [("transcript.update", "b")]
+    assert kinds(turn("t1", 0, 7.5, "a")) == [("transcript.update", "a")]
+    assert turn("t2", 5, 10, "b", version=1) == []
+    m.asr(20.0, 22.0, "same")
+    turn("t3", 20, 22, "c", version=1)
+    turn("t4", 20, 22, "d", c=0.4, version=1)
+    assert kinds(turn("t4", 20, 22, "d", c=0.9, version=2)) == [("transcript.update", "d")]
+
+
 def test_small_cores():
     d = cores.NullDiarizer(1.0)
     out = [x for i in range(4) for x in d.accept(i, i + 1)] + d.flush()

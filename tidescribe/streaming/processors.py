@@ -124,7 +124,7 @@ def multiplex(stream: DataFrame, keep_seconds: float | None = 3600.0, time: str
         if kind == "asr":
             events = core.asr(r["start"], r["end"], r["text"])
         elif kind in ("turn", "final"):
-            events = core.turn({"id": r["id"], "start": r["start"], "end": r["end"], "speaker": r["speaker"], "confidence": r["confidence"], "final": kind == "final"})
+            events = core.turn({"id": r["id"], "start": r["start"], "end": r["end"], "speaker": r["speaker"], "confidence": r["confidence"], "final": kind == "final", "version": r.get("version")})
         elif kind == "correct":
             events = core.correct(r["id"], r["text"], r["speaker"])
         else:

@@ -34,13 +34,32 @@ def test_normalise(spark):
     assert got == ["a b c", "strasse", "", "", "a"]
     assert values(spark, [" a \x1c　b ", None], tx.collapse_space(F.col("t"))) == ["a b", None]
     assert values(spark, ["x"], tx.content_identity(F.col("t"))) == [quality.label_hash(" X ")]
+    odd = ["a\ue000 b", None, " \u0301x", "", " ", "ΑΣ", "Σ"]  # the mark of the batch itself, and texts that could melt together
+    for part in (odd, odd[1:]):
+        assert values(spark, part, tx.normalise(F.col("t"))) == [tx.normalise_value(t) for t in part]
+        assert values(spark, part, tx.evaluation_text(F.col("t"))) == [None if t is None else tx._evaluation(t) for t in part]
 
 
 def test_scripts(spark):
     assert [tx.script_of(c) for c in "กあアー漢々aж가"] == ["thai", "hiragana", "katakana", "hiragana", "han", "other", "latin", "cyrillic", "hangul"]
     p = values(spark, ["ab กา 1", "123", "漢字か", None], tx.script_profile(F.col("t")))
     assert p[0] == {"latin": pytest.approx(0.5), "thai": pytest.approx(0.5)} and p[1] == {} and p[2] == {"han": pytest.approx(2 / 3), "hiragana": pytest.approx(1 / 3)}
-    assert values(spark, ["กา a1 漢"], tx.foreign_scripts(F.col("t"))) == [{"CJK": 1}]
+    assert values(spark, ["กา a1 漢", "é ๑ ① が́・"], tx.foreign_scripts(F.col("t"))) == [{"CJK": 1}, {"Hiragana": 1}]
+    assert values(spark, ["é ๑ ②"], tx.script_counts(F.col("t"))) == [{"Thai": 1, "Digit": 1}]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("กข์่ a-b9'é漢か々ー_1! Z๑") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    want = []
+    for t in texts:
+        spans, active = [], None
+        for i, c in enumerate(t):
+            lang = tx.route_char(c, active)
+            if lang and lang == active:
+                spans[-1][2] = i + 1
+            elif lang:
+                spans.append([lang, i, i + 1])
+            active = lang
+        want.append([(*x, t[x[1] : x[2]]) for x in map(tuple, spans)])
+    assert [[tuple(s) for s in r] for r in values(spark, texts, tx.script_spans(F.col("t"), True))] == want
     spans = tx.split_spans("ทีม api-2 漢字です")
     assert [(s[0], s[3]) for s in spans] == [("thai", "ทีม"), ("english", "api-2"), ("japanese", "漢字です")]
     assert tx.split_spans(None) == [] and tx.split_spans("12 !") == []
@@ -48,20 +67,25 @@ def test_scripts(spark):
 
 def test_thai_repairs(spark):
     assert values(spark, ["ก า ร ป ร ะ ชุ ม วั น นี้", "การประชุม วันนี้ครับผม"], tx.thai_spacing(F.col("t"))) == ["การประชุมวันนี้", "การประชุม วันนี้ครับผม"]
-    assert values(spark, ["ก็ก็ก็ดี", "ก็ก็ดี"], tx.collapse_hesitation(F.col("t"))) == ["ก็ดี", "ก็ก็ดี"]
+    assert values(spark, ["ก\tา\tร\tป\tร\tะ\tชุ\tม\tวั\tน"], tx.thai_spacing(F.col("t"))) == ["ก\tา\tร\tป\tร\tะ\tชุ\tม\tวั\tน"]
+    assert values(spark, ["ก็ก็ก็ดี", "ก็ก็ดี", "ถ้า ถ้า ถ้า", "มัน มัน มัน"], tx.collapse_hesitation(F.col("t"))) == ["ก็ดี", "ก็ก็ดี", "ถ้า", "มัน มัน มัน"]
 
 
 def test_tokens_and_terms(spark):
     assert values(spark, ["abc12 กำดี, 漢字!", ""], tx.tokens(tx.evaluation_text(F.col("t")))) == [["abc12", "กํ", "า", "ดี", "漢", "字"], []]
+    assert values(spark, ["café ๑๒ab", "e\u0331 , \u0331x", "\u0331a"], tx.tokens(tx.evaluation_text(F.col("t")))) == [["caf", "é", "๑๒ab"], ["e\u0331\u0331", "x"], ["\u0331", "a"]]
     got = values(spark, ["Use the API and api with scikit-learn, v2.0, ok at it"], tx.terms(F.col("t")))[0]
     assert "API" in got and "api" not in got and "scikit-learn" in got and "the" not in got
     assert got == sorted(got, key=str.lower)
+    texts = ["about context prompt Foo x-y A_b C# GPU", "Use the API and api, v2.0 it", "naïve C+ไทย abcd"]
+    assert values(spark, texts, tx.terms(F.col("t"))) == [tx.term_list(t) for t in texts] == [["A_b", "GPU"], ["API", "v2.0"], ["abcd", "C+"]]
+    assert values(spark, ["of café ok OK"], tx.evaluated_terms(F.col("t"))) == [["OK"]]
 
 
 def test_context_functions(spark):
     df = spark.createDataFrame([("bcdef", "xxabcd", ["alpha", "beta", "gamma"])], "l string, c string, a array<string>")
     r = df.select(tx.copied_context(F.col("l"), F.col("c")).alias("n"), tx.terms_line(F.col("a"), 19).alias("line"), tx.prompt(F.lit("be brief"), F.col("a"), F.col("c"), 90, 20).alias("p")).first()
-    assert r.n == 3 and r.line == "Terms: alpha, beta" and r.p.startswith("be brief\nTerms: ")
+    assert r.n == 3 and r.line == "Terms: alpha, beta" and r.p == "be brief\nTerms: alpha, beta, gamma\nRecent transcript: xxabcd"
     assert values(spark, ["one two three", "short"], tx.tail(F.col("t"), 9)) == ["three", "short"]
     pairs = spark.createDataFrame([("hello there", "hello there"), ("hello", "x x x x"), ("hello big world", "big"), ("a", "new text"), ("a", None)], "c string, n string")
     assert [r[0] for r in pairs.select(tx.rejects_replacement(F.col("c"), F.col("n"))).collect()] == [True, True, True, False, True]
@@ -72,7 +96,7 @@ def test_keys(spark):
     sha = "a" * 64
     r = spark.createDataFrame([(sha, 1.0, None, "A\\B.wav"), ("xyz", 1.0, 2.0, "u")], "h string, s double, e double, u string").select(tx.chunk_key(F.col("h"), F.col("s"), F.col("e"), F.col("u")), tx.path_key(F.col("u"))).collect()
     assert r[0][0] == f"{sha}:1.000000::A/B.wav" and r[0][1] == "a/b.wav" and r[1][0] is None
-    assert values(spark, ["th-TH", "日本語", "en_GB", "xx", None], tx.language_name(F.col("t"))) == ["Thai", "Japanese", "English", None, None]
+    assert values(spark, [" TH", "ja / en", "English", "th/en", "mixed", "jp", None], tx.language_name(F.col("t"))) == ["Thai", "Japanese", "English", "Thai", None, None, None]
     assert values(spark, ["a b/c", "///"], tx.safe_name(F.col("t"))) == ["a_b_c", "model"]
 
 
@@ -215,11 +239,13 @@ def test_consensus_rules(spark):
 
 
 def test_spelling(spark):
-    check = {"english": quality.dictionary_checker(frozenset(["hello", "world"]))}
-    df = spark.createDataFrame([("a", "hello wrold API"), ("b", "สวัสดี"), ("c", None)], "key string, label string")
+    check = {"english": quality.english_checker(quality.WordList({"hello": 5, "world": 3})), "thai": quality.dictionary_checker(quality.WordList(frozenset(["ภาษา", "ไทย"])), "thai")}
+    df = spark.createDataFrame([("a", "hello wrold API ABCDEFGHI"), ("b", "ภาษาไทย"), ("c", None), ("d", "ภาษาไทบ x")], "key string, label string")
     units = quality.spelling(df, "key", "label", check)
-    assert [(r.key, r.checked, r.suspicious, r.issues) for r in units.collect()] == [("a", 3, 1, ["wrold"])]
-    assert quality.spelling_rows(units, "key").first().review
+    assert sorted((r.key, r.checked, r.suspicious, r.issues) for r in units.collect()) == [("a", 3, 2, ["ABCDEFGHI", "wrold"]), ("b", 2, 0, []), ("d", 2, 1, ["ไทบ"])]
+    assert quality.spelling_rows(units, "key").filter("key = 'a'").first().review
+    words = quality.WordList({"hello": 5, "help": 2})
+    assert words.close("hlelo") == ["hello"] and words.close("zzzz") == [] and words.cut("helloxhelp") == ["hello", "x", "help"]
 
 
 def test_guards(spark):
@@ -432,6 +458,49 @@ def test_identities_stay_when_labels_flip(spark):
     assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == 3
 
 
+def test_average_linkage_merges_nearest_first():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(12, 6))
+    got = speakers.average_linkage(v)
+    assert len(got) == 11 and [d for *_, d, _ in got] == sorted(d for *_, d, _ in got) and got[-1][3] == 12
+    u = np.stack([speakers.unit(x) for x in v])
+    parts = {i: [i] for i in range(12)}
+    for new, (a, b, d, size) in enumerate(got, 12):
+        assert d == pytest.approx(np.mean([1 - u[i] @ u[j] for i in parts[a] for j in parts[b]]))
+        parts[new] = parts.pop(a) + parts.pop(b)
+        assert len(parts[new]) == size
+
+
+def test_identity_scenario_in_overlapping_chunks(spark):
+    rows = [("s", i, label, who, vector, chunk * 12.0 + 1, chunk * 12.0 + 9) for i, (chunk, label, who, vector) in enumerate(speakers.identity_scenario())]
+    df = spark.createDataFrame(rows, "k string, i int, label string, who string, vector array<double>, start double, end double")
+    one = speakers.chunked_identities(df.withColumn("label", F.col("who")), "k", 20.0, 12.0).collect()
+    assert {r.speaker for r in one} == {"SPEAKER_00", "SPEAKER_01", "SPEAKER_02"} and max(r.chunk for r in one) == 7
+    assert len({(r.label, r.speaker) for r in one}) == 3
+
+
+def test_windows_equal_the_plan_in_memory(spark):
+    rng = random.Random(6)
+    rows = []
+    for s in range(4):
+        for kind, n, span in (("speech", 40, 14), ("word", 300, 0.6), ("quiet", 40, 0.3), ("dirty", 8, 3)):
+            rows += [(f"s{s}", kind, t, round(t + rng.random() * span + 0.01, 3)) for t in (round(rng.random() * 300, 3) for _ in range(n))]
+    df = spark.createDataFrame(rows, "k string, kind string, start double, end double")
+    near = lambda w: (round(w["start"], 4), round(w["end"], 4), round(w["labeling_start"], 4), w["method"], round(w["confidence"], 3))
+    for config in (planner.PlanConfig(), planner.PlanConfig(exclude_overlap=True)):
+        got = {}
+        for r in planner.owned_windows(df, "k", config).collect():
+            got.setdefault(r.k, []).append((r["index"], near(r)))
+        for s in {r[0] for r in rows}:
+            of = lambda kind: [(a, b) for k, n, a, b in rows if k == s and n == kind]
+            want = planner.plan_source(config, of("speech"), of("dirty"), of("word"), of("quiet"), None)
+            assert sorted(got[s]) == [(w["index"], near(w)) for w in want]
+    base = planner.baseline_windows(df.filter("kind = 'speech'").select("k", "start", "end"), "k", "wall_clock").collect()
+    assert base and all(0 < r.end - r.start <= 25 + 1e-6 for r in base)
+    one = spark.createDataFrame([("s", 0.0, 20.0), ("s", 20.5, 50.0), ("s", 60.0, 61.0)], "k string, start double, end double")
+    assert [(r["index"], r.start, r.end, r.speech) for r in planner.baseline_windows(one, "k").orderBy("index").collect()] == [(0, 0.0, 20.0, 20.0), (1, 20.5, 45.5, 25.0), (2, 45.5, 50.0, 4.5), (3, 60.0, 61.0, 1.0)]
+
+
 def test_speaker_book_rules():
     book = speakers.SpeakerBook()
     e = np.eye(4)

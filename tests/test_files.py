@@ -14,7 +14,15 @@ def test_jsonl_is_strict(spark, tmp_path):
     got = files.read_jsonl(spark, str(good), "a int, b string").orderBy("line").collect()
     assert [(r.line, r.a) for r in got] == [(1, 1), (4, 2)]
     assert files.read_jsonl(spark, str(good), "a int", limit=1).count() == 1
-    assert [r.line for r in files.read_jsonl(spark, str(good), "a int", whole=False).orderBy("line").collect()] == [1, 4]
+    long = tmp_path / "long.jsonl"
+    long.write_text("".join(f'{{"a": {i}}}\n' for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits of one file
+    try:
+        rows = files.read_jsonl(spark, str(long), "a int")
+        assert rows.rdd.getNumPartitions() > 3 and rows.filter("line <> a + 1").count() == 0 and rows.count() == 4000
+        assert [r.a for r in files.read_jsonl(spark, str(long), "a int", limit=3).collect()] == [0, 1, 2]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     bad = tmp_path / "b.jsonl"
     for text in ('{"a": 1}\n[1]\n', '{"a": 1}\n{oops\n'):
         bad.write_text(text)
@@ -97,7 +105,14 @@ def test_export_and_subtitles(spark, tmp_path):
     df = spark.createDataFrame([row], "source_id string, source_file string, index int, start double, end double, labeling_start double, method string, confidence double, eligible boolean, reason string, text string, language string, speech array<struct<start:double,end:double>>")
     got = json.loads(spark.read.text(sinks.export_dataset(df, str(tmp_path / "d"))).first()[0])
     assert got["file_name"] == "train/s_1_00000.wav" and got["source_start"] == 1.234568 and got["speech_duration"] == 0.5
-    assert got["review_signals"] == ["pre_roll", "fallback_boundary", "low_boundary_confidence"]
+    assert got["review_signals"] == ["continuous_speech_fallback", "labeling_preroll_context", "owned_target_alignment_required"] and len(got) == 25
+    assert got["segmentation"]["boundary"] == {"method": "continuous_speech_fallback", "confidence": 0.0, "evidence": None} and got["target_offset_seconds"] == 0.734568
+    (tmp_path / "x.wav").write_bytes(b"audio")
+    (tmp_path / "d2.lock").write_text("")
+    with pytest.raises(FileExistsError, match="publishes"):
+        sinks.export_dataset(df, str(tmp_path / "d2"))
+    sinks.export_dataset(df.withColumn("chunk_path", F.lit(str(tmp_path / "x.wav"))), str(tmp_path / "d3"))
+    assert (tmp_path / "d3.audio" / "train" / "s_1_00000.wav").read_bytes() == b"audio" and not (tmp_path / "d3.lock").exists()
     with pytest.raises(ValueError, match="two rows"):
         sinks.export_dataset(df.union(df), str(tmp_path / "e"))
     subs = spark.createDataFrame([("s", 3661.5, 3662.0, "b", "x"), ("s", 0.0, 1.0, " ", "x"), ("s", 0.0, 1.0, "a", None)], "k string, start double, end double, text string, speaker string")
@@ -113,3 +128,58 @@ def test_samples(spark):
     for x in "abc":
         log.emit(x)
     assert log.drain() == ["b", "c"] and log.drain() == []
+    log = sinks.BoundedLog(9, queue=2)
+    key = log.subscribe()
+    for x in "abc":
+        log.emit(x)
+    assert log.read(key) == ["a", "b"] and log.read(key) == []
+    log.unsubscribe(key)
+
+
+def test_frames_features_and_hashes(spark, tmp_path):
+    import hashlib
+
+    from tidescribe.functions import models, numeric
+
+    frames = spark.createDataFrame([("s", i, numeric.to_pcm16([0.5] * 8)) for i in range(3)] + [("s", 3, b"xyz"), ("s", 4, numeric.to_pcm16([0.1] * 8))], "session string, seq long, data binary")
+    got = files.pcm_frames(frames, rate=16).orderBy("seq").collect()
+    assert [(r["index"], r.start) for r in got] == [(0, 0.0), (1, 0.5), (2, 1.0), (None, None), (3, 1.5)] and got[3].error and len(got[0].samples) == 8
+    (tmp_path / "a b.bin").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in numeric.file_hashes(spark, str(tmp_path)).collect()}
+    assert sorted(got.values()) == sorted([hashlib.sha256(b"x" * 3_000_000).hexdigest(), hashlib.sha256(b"").hexdigest()])
+    sound = spark.createDataFrame([("k", 1000, [0.1, -0.1] * 500), ("e", 1000, None)], "key string, rate int, samples array<float>")
+    out = models.apply_model(sound, models.backend("features", "mel"), "key string, frames long, features array<double>").collect()
+    assert {r.key: (r.frames, len(r.features)) for r in out} == {"k": (98, 98 * 40), "e": (0, 0)}
+    asks = spark.createDataFrame([("k", b"1", "before", None), ("bad", None, None, None)], "key string, audio binary, context_before string, context_after string")
+
+    def ask(prompt, audio):
+        if audio is None:
+            raise ValueError("no audio")
+        return prompt.splitlines()[-1]
+
+    out = models.apply_model(asks, models.labeller(ask), "key string, answer string, error string").collect()
+    assert {(r.key, r.answer, r.error) for r in out} == {("k", "Before: before", None), ("bad", None, "no audio")}
+    copy = models.transcoder(["cp", "{source}", "{target}"], str(tmp_path / "out"))
+    (tmp_path / "out").mkdir()
+    import wave
+
+    with wave.open(str(tmp_path / "t.wav"), "wb") as f:
+        f.setnchannels(1), f.setsampwidth(2), f.setframerate(100), f.writeframes(b"\0\0" * 50)
+    rows = spark.createDataFrame([(str(tmp_path / "t.wav"),), (str(tmp_path / "none.wav"),)], "path string")
+    out = {r.path.rsplit("/", 1)[-1]: r for r in models.apply_model(rows, copy, "path string, audio_id string, target string, seconds double, error string").collect()}
+    assert out["t.wav"].seconds == 0.5 and out["t.wav"].audio_id.startswith("t_") and out["none.wav"].error and out["none.wav"].target is None
+
+
+def test_settings():
+    from dataclasses import dataclass
+
+    @dataclass(frozen=True)
+    class C:
+        mode: str = "a"
+        n: int = 1
+
+    layers = files.env_layer("APP", {"APP_N": "4", "OTHER": "x"}), files.query_layer("?mode=b&n=5")
+    assert files.load_config(C, *layers, choices={"mode": ("a", "b")}) == C("b", 5)
+    with pytest.raises(ValueError, match="none of"):
+        files.load_config(C, {"mode": "z"}, choices={"mode": ("a", "b")})

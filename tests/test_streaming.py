@@ -80,12 +80,23 @@ def test_small_cores():
     d = cores.NullDiarizer(1.0)
     out = [x for i in range(4) for x in d.accept(i, i + 1)] + d.flush()
     assert sum(x["final"] for x in out) == 4 and sum(not x["final"] for x in out) == 4
-    p = cores.PromptMemory(2, 10)
-    p.add("some text here", ["API", "Spark"])
-    p.add("more", ["api"])
-    assert p.terms() == ["API", "Spark"] and p.transcript == "t here more"[-10:]
-    assert cores.delayed_correction("a b", "a a a a") is None and cores.delayed_correction("a", "b") == "b"
-    assert cores.needs_retry(0.5, None) and not cores.needs_retry(2, -0.5) and cores.emit_region(10.0) == (7.0, 8.0)
+    p = cores.PromptMemory("Spark notes", 2, 10)
+    p.add("some  text with API here")
+    p.add("more api, gpu api")
+    assert p.terms() == ["API", "here"] and p.transcript == "gpu api"
+    assert p.prompt() == "Spark notes\nTerms: API, here\nRecent transcript: gpu api"
+    assert cores.PromptMemory().prompt() is None
+    assert not cores.replaces("a b", "A  a a a") and not cores.replaces("Big  World", "big world") and cores.replaces("a", "b")
+    heard = [{"start": 0.0, "end": 9.0, "text": "x", "words": [{"start": 1.0, "end": 2.0, "text": "before"}, {"start": 6.0, "end": 7.0, "text": "new"}, {"start": 7.0, "end": 8.0, "text": "words"}]}]
+    assert cores.window_correction(6.0, 9.0, "old", lambda a, b: heard) == "new words" and cores.window_correction(0.0, 9.0, "old", lambda a, b: heard) is None
+    assert cores.needs_retry(1, 2, []) and not cores.needs_retry(0, 1, []) and cores.needs_retry(1, 9, [-1.5, None]) and not cores.needs_retry(1, 9, [-0.5])
+    assert cores.emit_region(10.0) == (7.0, 8.0) and cores.kept_seconds() == 12.0
+    live = cores.LiveSession(lambda u: [{"start": u["start"], "end": u["end"], "text": "hi"}], cores.NullDiarizer(0.5))
+    kinds = lambda events: [e["type"] for e in events]
+    assert kinds(live.message({"type": "ping"})) == ["pong"] and kinds(live.message({"type": "config"})) == ["log"] and kinds(live.message({"type": "?"}, 200)) == ["log", "error"]
+    got = [e for loud in (1, 1, 1, 1, 0, 0, 0, 0) for e in live.message({"type": "audio", "seconds": 0.3, "rms": 0.1 * loud})]
+    assert kinds(got) == ["transcript.partial", "transcript.final"] or kinds(got) == ["transcript.partial"]
+    assert kinds(live.message({"type": "flush"}))[-1:] in ([], ["transcript.final"]) and live.clock == pytest.approx(2.4)
     assert cores.rms_of([]) == 0.0 and cores.rms_of([3.0, float("nan")]) == pytest.approx(4.5**0.5)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,10 +141,29 @@ def table_fingerprint(df: DataFrame, order: list[str], settings: dict | None = N
     return hashlib.sha256(json.dumps([str(x) for x in sums] + [fingerprint(settings or {})]).encode()).hexdigest()[:20]
 
 
-def file_hashes(spark, path: str, pattern: str = "*") -> DataFrame:
-    """HSH01, HSH02: ``path, length, sha256`` of files, hashed in parallel, in order of path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path")
+def file_hashes(spark, path: str, pattern: str = "*", block: int = 1 << 20) -> DataFrame:
+    """HSH01, HSH02: ``path, length, sha256`` of files, in order of path; each is streamed in blocks, however long.
+
+    Only paths are listed by Spark (contents are not read by it); an executor opens a file through Arrow's file system.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                local = name.startswith("file:")
+                store, inner = (fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while data := f.read(block):
+                        digest.update(data)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["path", "length", "sha256"])
+
+    return files.mapInArrow(run, "path string, length long, sha256 string").orderBy("path")
 
 
 def artifact_fingerprint(spark, path: str) -> str:

@@ -46,6 +46,16 @@ def strategy_summary(df: DataFrame, short: Column, technical: Column) -> DataFra
     return summary(df.withColumn("subset", F.explode(sets)), "strategy", "subset")
 
 
+def has_term(text: Column) -> Column:
+    """AG03: whether a text has a technical term."""
+    return F.size(tx.evaluated_terms(F.coalesce(text, F.lit("")))) > 0
+
+
+def failures(df: DataFrame, status: str = "status", n: int = 10) -> DataFrame:
+    """AG03: the first n rows that did not go well, by line (a preview; the cap is the feature)."""
+    return df.filter(F.col(status) != "ok").orderBy("line").limit(n)
+
+
 def script_totals(df: DataFrame, text: str, by: str) -> DataFrame:
     """AG03: foreign script characters per group and script."""
     return df.select(by, F.explode(tx.foreign_scripts(F.coalesce(F.col(text), F.lit(""))))).groupBy(by, F.col("key").alias("script")).agg(F.sum("value").alias("n"))
@@ -64,17 +74,45 @@ def durations(df: DataFrame, by: list[str], start: str = "start", end: str = "en
     )
 
 
+def nearest_hits(got: np.ndarray, want: np.ndarray, collar: float) -> int:
+    """Matches of sorted points, each with the nearest free one (ties: the earlier) if within the collar.
+
+    The free points left and right of a place are found by links that skip taken ones (union of runs), so a pass is near linear.
+    """
+    left, right = np.arange(-1, len(want) + 1), np.arange(1, len(want) + 3)  # links by index + 1
+
+    def free(links: np.ndarray, i: int) -> int:
+        root = i
+        while taken[root]:
+            root = links[root]
+        while taken[i] and links[i] != root:
+            links[i], i = root, links[i]
+        return root
+
+    taken = np.zeros(len(want) + 2, dtype=bool)  # the two ends are never taken
+    hits = 0
+    for p, at in zip(got, np.searchsorted(want, got)):
+        a, b = free(left, int(at)), free(right, int(at) + 1)
+        da = p - want[a - 1] if a >= 1 else np.inf
+        db = want[b - 1] - p if b <= len(want) else np.inf
+        if min(da, db) > collar:
+            continue
+        i = a if da <= db else b
+        if da <= db:  # of equal points the first
+            first = int(np.searchsorted(want, want[a - 1])) + 1
+            i = free(right, first)
+            i = i if i <= a and want[i - 1] == want[a - 1] else a
+        taken[i] = True
+        hits += 1
+    return hits
+
+
 def boundary_f1(segments: DataFrame, refs: DataFrame, key: str, collar: float = 0.25) -> DataFrame:
     """IV18: precision, recall and F1 of inner boundaries: greedy nearest one-to-one matches within a collar."""
 
     def score(k: tuple, seg: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         got, want = (np.sort(x["end"].to_numpy())[:-1] for x in (seg, ref))
-        free, hits = set(range(len(want))), 0
-        for p in got:
-            near = min(free, key=lambda i: (abs(want[i] - p), i), default=None)
-            if near is not None and abs(want[near] - p) <= collar:
-                free.discard(near)
-                hits += 1
+        hits = nearest_hits(got, want, collar)
         p, r = (hits / len(got) if len(got) else 0.0), (hits / len(want) if len(want) else 0.0)
         return pd.DataFrame({key: [k[0]], "hits": [hits], "precision": [p], "recall": [r], "f1": [2 * p * r / (p + r) if p + r else 0.0]})
 
@@ -126,21 +164,71 @@ def drift_gate(micro: DataFrame, column: str, baseline: float, most: float = 1.0
     return micro.filter(F.when(off, F.raise_error(F.lit("the rate drifted beyond the gate")).cast("boolean")).otherwise(F.lit(True)))
 
 
-def gold_report(gold: DataFrame, clips: DataFrame, predictions: DataFrame) -> DataFrame:
-    """JN05, JN06, AG18: gold audio (``content_sha, gold_text``) matched by hash to clips and their first prediction.
+def gold_scores(df: DataFrame) -> DataFrame:
+    """NUM02 of ``reference, hypothesis`` as the gold report counts them: normalised, characters, without spaces, words by blanks."""
+    a, b = tx.normalise(F.col("reference")), tx.normalise(F.col("hypothesis"))
+    rows = df.withColumns({"_r": a, "_h": b})
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
+    rows = char_scores(rows, "_r", "_h", strict=False).withColumnsRenamed({"char_edits": "edits", "ref_chars": "chars"})
+    rows = rows.withColumns({"bare_edits": F.levenshtein(bare("_r"), bare("_h")).cast("long"), "bare_chars": F.length(bare("_r")).cast("long"), "word_edits": token_edits(words("_r"), words("_h")).cast("long"), "words": F.size(words("_r")).cast("long")})
+    rate = lambda x, n: error_rate(F.col(x), F.col(n), strict=False)
+    return rows.withColumns({"cer_no_space": rate("bare_edits", "bare_chars"), "wer_like": rate("word_edits", "words")}).drop("_r", "_h")
+
+
+def gold_matches(gold: DataFrame, labels: DataFrame, clips: DataFrame, metadata: DataFrame) -> DataFrame:
+    """JN05: every gold file (``file_name, content_sha``) with ``state``: matched, unmatched or malformed.
+
+    The number at the end of its name (``_12.wav``) finds the label (``number, label``), its hash the training
+    file (``file_name, content_sha``; of several the greatest name), that file its metadata (``file_name, text, source_file``).
+    Malformed: no number, no such label, or no metadata. A matched row has ``number, train_key, reference, text, source_file``.
+    """
+    n = F.regexp_extract("file_name", r"_(\d+)\.wav$", 1)
+    rows = gold.select("file_name", "content_sha", F.when(n != "", n.try_cast("long")).alias("number"))
+    rows = rows.join(labels.select(F.col("number").cast("long").alias("number"), F.col("label").alias("reference")), "number", "left")
+    held = clips.groupBy("content_sha").agg(F.max(tx.path_key_as_is(F.col("file_name"))).alias("train_key"))
+    meta = metadata.filter(F.coalesce("file_name", F.lit("")) != "").groupBy(tx.path_key_as_is(F.col("file_name")).alias("train_key")).agg(F.max_by(F.struct("text", "source_file"), F.struct("line")).alias("m"))
+    rows = rows.join(held, "content_sha", "left").join(meta, "train_key", "left")
+    state = F.when(F.col("reference").isNull(), "malformed").when(F.col("train_key").isNull(), "unmatched").when(F.col("m").isNull(), "malformed").otherwise("matched")
+    return rows.select("file_name", "number", "train_key", "reference", F.col("m.text").alias("text"), F.col("m.source_file").alias("source_file"), state.alias("state"))
+
+
+def candidate_predictions(predictions: DataFrame) -> DataFrame:
+    """JN06: per file the first prediction of every candidate: ``train_key, candidate, hypothesis``.
+
+    ``file_name, model, strategy, text, line``; a candidate is the last part of the model's path and the strategy.
+    """
+    model = F.element_at(F.split(F.rtrim(F.translate(F.coalesce(F.nullif("model", F.lit("")), F.lit("candidate")), "\\", "/"), F.lit("/")), "/"), -1)
+    name = F.concat(model, F.lit("|"), F.coalesce(F.nullif("strategy", F.lit("")), F.lit("default")))
+    rows = predictions.filter("text is not null and file_name <> ''").select(tx.path_key_as_is(F.col("file_name")).alias("train_key"), name.alias("candidate"), "text", "line")
+    return rows.groupBy("train_key", "candidate").agg(F.min_by("text", "line").alias("hypothesis"))
+
+
+def gold_metrics(matches: DataFrame, predictions: DataFrame, n_labels: DataFrame) -> DataFrame:
+    """AG18: per candidate (``original_label`` too) count, coverage of all labels, mean and micro rates.
 
-    One row: gold rows, matched, scored, coverage, micro rates of the clip label, contamination flag.
-    Of several clips with a hash the smallest file name counts (not folder order).
+    ``n_labels`` is the one-row table of the number of gold labels (``n``).
     """
-    held = clips.groupBy("content_sha").agg(F.min("file_name").alias("file_name"), F.min_by("label", "file_name").alias("label"))
-    first = predictions.groupBy("file_name", "strategy").agg(F.min_by("text", "line").alias("prediction"))
-    rows = gold.join(held, "content_sha", "left").join(first, "file_name", "left")
-    rows = char_scores(rows, "gold_text", "label", strict=False)
-    hit = F.col("file_name").isNotNull()
-    return rows.groupBy("strategy").agg(
-        F.count("*").alias("gold"), F.count_if(hit).alias("matched"), F.count_if(F.col("prediction").isNotNull()).alias("predicted"), (F.count_if(hit) / F.count("*")).alias("coverage"),
-        F.try_divide(F.sum(F.when(hit, F.col("char_edits"))), F.sum(F.when(hit, F.col("ref_chars")))).alias("label_micro_cer"), F.bool_or(hit).alias("contaminated"),
+    hit = matches.filter("state = 'matched'")
+    own = hit.select(F.lit("original_label").alias("candidate"), "reference", F.coalesce("text", F.lit("")).alias("hypothesis"))
+    other = hit.join(candidate_predictions(predictions), "train_key").select("candidate", "reference", "hypothesis")
+    micro = lambda x, n: F.sum(x) / F.greatest(F.lit(1), F.sum(n))
+    out = gold_scores(own.unionByName(other)).groupBy("candidate").agg(
+        F.count("*").alias("count"), F.avg("cer").alias("mean_cer"), micro("edits", "chars").alias("micro_cer"), F.avg("cer_no_space").alias("mean_cer_no_space"),
+        micro("bare_edits", "bare_chars").alias("micro_cer_no_space"), F.avg("wer_like").alias("mean_wer_like"),
     )
+    return out.join(F.broadcast(n_labels.select(F.col("n").alias("_n")))).withColumn("coverage", F.col("count") / F.col("_n")).drop("_n")  # one row
+
+
+def gold_report(matches: DataFrame, metadata: DataFrame, n_labels: DataFrame) -> DataFrame:
+    """AG18: one row: gold labels, overlaps, unmatched and malformed files, malformed metadata, contamination, source groups."""
+    count = lambda s: F.count_if(F.col("state") == s)
+    hit = F.col("state") == "matched"
+    groups = F.count_distinct(F.when(hit, F.coalesce("source_file", F.lit("unknown"))))
+    out = matches.agg(count("matched").alias("overlaps"), count("unmatched").alias("unmatched"), count("malformed").alias("malformed"), groups.alias("source_groups"))
+    bad = metadata.agg(F.count_if(F.coalesce("file_name", F.lit("")) == "").alias("malformed_metadata"))
+    out = n_labels.select(F.col("n").alias("gold")).join(F.broadcast(out)).join(F.broadcast(bad))  # one row each
+    return out.withColumns({"contaminated": F.col("overlaps") > 0, "split_status": F.when(F.col("source_groups") < 2, "blocked_single_group").otherwise("groups_available")})
 
 
 def changed_rows(a: DataFrame, b: DataFrame, position: str, columns: list[str]) -> DataFrame:

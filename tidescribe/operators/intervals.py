@@ -110,10 +110,18 @@ def bridged_groups(df: DataFrame, keys: list[str], gap: float, start: str = "sta
     return numbered_groups(rows, keys, "_new", [start, end]).withColumnRenamed("_g", "group_no").drop("_new", "_before", "_b")
 
 
+def with_next(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Adds ``_next``: the start of the next row of the key by start and end (null at the last), block by block."""
+    rows = df.withColumn("_b", block_of(df, start))
+    first = rows.groupBy(*keys, "_b").agg(F.min(start).alias("_first"))
+    first = first.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_first")
+    nxt = F.lead(start).over(Window.partitionBy(*keys, "_b").orderBy(start, end))
+    return with_summary(rows, first, keys).withColumn("_next", F.coalesce(nxt, F.col("_after"))).drop("_after", "_b")
+
+
 def gaps(df: DataFrame, keys: list[str], minimum: float, low: float | None = None, high: float | None = None, start: str = "start", end: str = "end") -> DataFrame:
     """IV06: gaps of at least ``minimum`` between successive rows, clamped to a window if given."""
-    nxt = F.lead(start).over(Window.partitionBy(*keys).orderBy(start, end))
-    rows = usable(df, start, end).select(*keys, F.col(end).alias("_s"), nxt.alias("_e"))
+    rows = with_next(usable(df.select(*keys, start, end), start, end), keys, start, end).select(*keys, F.col(end).alias("_s"), F.col("_next").alias("_e"))
     s = F.greatest("_s", F.lit(low)) if low is not None else F.col("_s")
     e = F.least("_e", F.lit(high)) if high is not None else F.col("_e")
     return rows.filter("_e is not null").select(*keys, s.alias(start), e.alias(end)).filter(F.col(end) - F.col(start) >= minimum)
@@ -211,10 +219,11 @@ def low_energy_islands(blocks: DataFrame, keys: list[str], share: float = 0.2, f
     A key whose median is below ``flat`` times that floor is flat: no islands.
     """
     floor = blocks.groupBy(*keys).agg(F.percentile("rms", share).alias("floor"), F.percentile("rms", 0.5).alias("mid"))
-    by = Window.partitionBy(*keys).orderBy("start")
-    rows = blocks.join(floor, keys).withColumn("n", F.row_number().over(by)).filter((F.col("rms") <= F.col("floor")) & (F.col("mid") > F.col("floor") * flat))
-    rows = rows.withColumn("g", F.col("n") - F.row_number().over(by))
-    return rows.groupBy(*keys, "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g").filter(F.col("end") - F.col("start") >= shortest)
+    # A run ends where a loud block follows, so it is found by the number of loud blocks before: a running count by time block.
+    quiet = (F.col("rms") <= F.col("floor")) & (F.col("mid") > F.col("floor") * flat)
+    rows = blocks.join(floor, keys).withColumns({"_b": block_of(blocks, "start"), "_loud": F.coalesce((~quiet).cast("int"), F.lit(1))})
+    rows = numbered_groups(rows, keys, "_loud", ["start"]).filter("_loud = 0")
+    return rows.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g").filter(F.col("end") - F.col("start") >= shortest)
 
 
 def boundary_signals(vad: DataFrame, words: DataFrame, energy: DataFrame, keys: list[str], min_silence: float = 0.5, min_word_gap: float = 0.12) -> DataFrame:
@@ -245,8 +254,7 @@ def clip_segment(words: Column, text: Column, start: Column, end: Column) -> Col
 
 def risky_boundaries(segments: DataFrame, refs: DataFrame, keys: list[str], collar: float = 0.25) -> DataFrame:
     """IV19: inner ends of segments that fall strictly inside a reference less its collar."""
-    last = F.lead("start").over(Window.partitionBy(*keys).orderBy("start", "end"))
-    points = usable(segments).withColumn("_n", last).filter("_n is not null").select(*keys, F.col("end").alias("point")).withColumn("_c", F.floor(F.col("point") / 30))
+    points = with_next(usable(segments), keys).filter("_next is not null").select(*keys, F.col("end").alias("point")).withColumn("_c", F.floor(F.col("point") / 30))
     inner = usable(refs).select(*keys, (F.col("start") + collar).alias("s"), (F.col("end") - collar).alias("e")).filter("e > s")
     inner = inner.withColumn("_c", F.explode(F.sequence(F.floor(F.col("s") / 30), F.floor(F.col("e") / 30))))
     hit = inner.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("_c", "_d")

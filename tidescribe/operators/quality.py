@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ def reasons_of(*pairs: tuple[Column, str]) -> Column:
 
 
 def signals(df: DataFrame, label: str, seconds: str, scripts: list[str] | None = None, shortest: float = 0.15, longest: float = 30.0, slow: float = 0.5, fast: float = 35.0, normalised: bool = False) -> DataFrame:
-    """FLT01: adds ``norm_text, norm_length, char_rate, script_share, reasons``.
+    """FLT01: adds ``norm_text, norm_length, valid_seconds, char_rate, script_share, reasons``.
 
     A null label counts as empty; a duration that is null, no number, not finite or not positive
     is invalid and has no rate. ``normalised`` says that the label is normalised already.
@@ -35,7 +36,7 @@ def signals(df: DataFrame, label: str, seconds: str, scripts: list[str] | None =
     d = to_number(F.col(seconds))
     out = df.withColumn("norm_text", text).withColumn("_d", F.when(d > 0, d))
     rate = F.length(F.replace("norm_text", F.lit(" "), F.lit(""))) / F.col("_d")
-    out = out.withColumns({"norm_length": F.length("norm_text"), "char_rate": rate, "script_share": tx.script_profile(F.col("norm_text"))})
+    out = out.withColumns({"norm_length": F.length("norm_text"), "char_rate": rate, "valid_seconds": F.col("_d"), "script_share": tx.script_profile(F.col("norm_text"))})
     full = F.col("norm_length") > 0
     wrong = F.lit(False)
     if scripts:
@@ -53,11 +54,16 @@ def signals(df: DataFrame, label: str, seconds: str, scripts: list[str] | None =
 
 
 def evidence(extra: Column | None = None) -> Column:
-    """Evidence rows of `signals` as array<struct<name,num,str,source>>, in fixed order."""
+    """Evidence rows of `signals` as array<struct<name,num,str,source>>, in fixed order: length, duration, rate, scripts.
+
+    An invalid duration has a null number and says so; then there is no rate row.
+    """
     kind = "array<struct<name:string,num:double,str:string,source:string>>"
     one = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit("baseline").alias("source"))
     shares = F.transform(F.map_entries("script_share"), lambda e: F.struct(F.concat(F.lit("script_fraction."), e["key"]).alias("name"), e["value"].alias("num"), F.lit(None).cast("string").alias("str"), F.lit("baseline").alias("source")))
-    rows = F.concat(F.array(one("normalized_length", F.col("norm_length")), one("characters_per_second", F.col("char_rate"))).cast(kind), shares.cast(kind))
+    bad = F.struct(F.lit("duration_seconds").alias("name"), F.lit(None).cast("double").alias("num"), F.lit("missing or invalid").alias("str"), F.lit("baseline").alias("source"))
+    timed = F.when(F.col("valid_seconds").isNull(), F.array(bad).cast(kind)).otherwise(F.array(one("duration_seconds", F.col("valid_seconds")), one("characters_per_second", F.col("char_rate"))).cast(kind))
+    rows = F.concat(F.array(one("normalized_length", F.col("norm_length"))).cast(kind), timed, shares.cast(kind))
     return F.concat(rows, extra.cast(kind)) if extra is not None else rows
 
 
@@ -177,31 +183,99 @@ def consensus(df: DataFrame, key: str, view: str, text: str, least: int = 2) ->
 
     Blank texts do not count; case does not matter. Gives ``key, text_key, n, views, total, fraction``.
     """
-    rows = df.withColumn("text_key", F.lower(tx.collapse_space(F.col(text)))).filter("text_key <> ''")
-    by = rows.groupBy(key, "text_key").agg(F.count("*").alias("n"), F.count_distinct(view).alias("views"))
+    rows = df.withColumn("text_key", tx.casefold(tx.collapse_space(F.col(text)))).filter("text_key <> ''")
+    by = rows.groupBy(key, "text_key", view).agg(F.count("*").alias("n")).groupBy(key, "text_key").agg(F.sum("n").alias("n"), F.count(view).alias("views"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "text_key")
     best = by.withColumns({"r": F.row_number().over(order), "total": F.sum("n").over(Window.partitionBy(key))}).filter("r = 1")
     return best.filter((F.col("n") >= least) & (F.col("views") >= 2)).select(key, "text_key", "n", "views", "total", (F.col("n") / F.col("total")).alias("fraction"))
 
 
-Checker = Callable[[str], list[tuple[str, list[str]]]]
+#: The units of a span; with each null where it is right, else close words (perhaps none).
+Checker = Callable[[str], list[tuple[str, list[str] | None]]]
+
+
+def distance_within(a: str, b: str, most: int) -> int | None:
+    """Edits (insert, delete, replace, swap neighbours) between two words, or null beyond ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+        if min(row) > most:
+            return None
+    return rows[-1][-1] if rows[-1][-1] <= most else None
+
+
+class WordList:
+    """Words by frequency, with close words found by deletions (a word within ``most`` edits shares a deletion form)."""
+
+    def __init__(self, words: dict[str, int] | frozenset[str], most: int = 2, prefix: int = 7):
+        self.count = dict(words) if isinstance(words, dict) else dict.fromkeys(words, 1)
+        self.most, self.prefix, self.longest = most, prefix, max(map(len, self.count), default=0)
+        self.forms: dict[str, list[str]] = {}
+        for w in sorted(self.count):
+            for f in self._forms(w[:prefix]):
+                self.forms.setdefault(f, []).append(w)
+
+    def _forms(self, word: str) -> set[str]:
+        out = edge = {word}
+        for _ in range(self.most):
+            edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+            out = out | edge
+        return out
+
+    def close(self, word: str, top: int = 5) -> list[str]:
+        """The nearest words within the bound, most frequent first, at most ``top``."""
+        seen = {w for f in self._forms(word[: self.prefix]) for w in self.forms.get(f, [])}
+        found = [(d, -self.count[w], w) for w in seen if (d := distance_within(word, w, self.most)) is not None]
+        least = min((d for d, *_ in found), default=0)
+        return [w for d, _, w in sorted(found) if d == least][:top]
+
+    def cut(self, text: str) -> list[str]:
+        """A text without blanks into words: fewest characters outside the list, then fewest words; unknown stretches are one piece."""
+        best: list[tuple[int, int, int]] = [(0, 0, 0)]
+        for end in range(1, len(text) + 1):
+            options = [(best[end - 1][0] + 1, best[end - 1][1] + 1, end - 1)]
+            options += [(best[i][0], best[i][1] + 1, i) for i in range(max(0, end - self.longest), end) if text[i:end] in self.count]
+            best.append(min(options))
+        out, end = [], len(text)
+        while end:
+            start = best[end][2]
+            out.append((text[start:end], text[start:end] in self.count))
+            end = start
+        pieces: list[list] = []
+        for piece, known in reversed(out):
+            if pieces and not known and not pieces[-1][1]:
+                pieces[-1][0] += piece
+            else:
+                pieces.append([piece, known])
+        return [p for p, _ in pieces]
+
+
+ENGLISH_WORD = re.compile(r"[A-Za-z][A-Za-z0-9'’_-]*")
+
+
+def english_checker(words: WordList, acronym: int = 8) -> Checker:
+    """UD02: words of two or more letters that are no acronym; right if the nearest word of the list is the word itself."""
+
+    def check(text: str) -> list[tuple[str, list[str] | None]]:
+        units = [u for u in ENGLISH_WORD.findall(text) if len(u) > 1 and not (u.isupper() and len(u) <= acronym)]
+        return [(u, None if u.casefold() in words.count else words.close(u.casefold())) for u in units]
 
+    return check
 
-def dictionary_checker(words: frozenset[str], most: int = 5) -> Checker:
-    """UD02: the units of a text that a word list lacks, with close words of it; acronyms pass."""
-    by_size: dict[int, list[str]] = {}
-    for w in sorted(words):
-        by_size.setdefault(len(w), []).append(w)
 
-    def close(unit: str) -> list[str]:
-        out = []
-        for n in range(len(unit) - 1, len(unit) + 2):
-            out += [w for w in by_size.get(n, []) if sum(a != b for a, b in zip(unit, w)) + abs(len(unit) - len(w)) <= 1 or sorted(unit) == sorted(w)]
-        return out[:most]
+def dictionary_checker(words: WordList, script: str, shortest: int = 2) -> Checker:
+    """UD02 for a script without blanks (Thai, Japanese): the text is cut by the list; pieces it lacks are suspicious."""
 
-    def check(text: str) -> list[tuple[str, list[str]]]:
-        units = [u.strip("'’-._") for u in text.split()]
-        return [(u, [] if u.casefold() in words or (u.isupper() and len(u) <= 5) or not any(c.isalpha() for c in u) else close(u.casefold()) or ["?"]) for u in units if u]
+    def check(text: str) -> list[tuple[str, list[str] | None]]:
+        units = [u for part in text.split() for u in words.cut(part) if len(u) >= shortest and any(tx.script_of(c) == script or script == "" for c in u)]
+        return [(u, None if u in words.count else words.close(u)) for u in units]
 
     return check
 
@@ -216,15 +290,16 @@ def spelling(df: DataFrame, key: str, label: str, checkers: dict[str, Checker],
         cache: dict[tuple[str, str], list] = {}
         for batch in batches:
             out = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for lang, _, _, span in tx.split_spans(tx.normalise_value(text)):
-                    if lang in checkers:
-                        if (lang, span) not in cache:
-                            if len(cache) > 200_000:
-                                cache.clear()
-                            cache[lang, span] = checkers[lang](span)
-                        for unit, bad in cache[lang, span]:
-                            out.append((k, lang, unit, bool(bad) and unit.casefold() not in allow))
+            keys, texts = batch.column(0).to_pylist(), [tx.normalise_value(t) for t in batch.column(1).to_pylist()]
+            for row, number, start, end in zip(*tx.batch_spans(texts)):
+                lang, span = tx.LANGUAGES[number], texts[row][start:end]
+                if lang in checkers:
+                    if (lang, span) not in cache:
+                        if len(cache) > 200_000:
+                            cache.clear()
+                        cache[lang, span] = checkers[lang](span)
+                    for unit, close in cache[lang, span]:
+                        out.append((keys[row], lang, unit, close is not None and unit.casefold() not in allow))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], names=["key", "language", "unit", "bad"])
 
@@ -254,7 +329,7 @@ def candidate_manifest(clips: DataFrame, protected: DataFrame, proposals: DataFr
     counts = clips.filter("content_sha is not null").groupBy("content_sha").agg(F.count("*").alias("copies"))
     shas = protected.select("content_sha").filter("content_sha is not null").distinct().withColumn("guarded", F.lit(True))
     rows = rows.join(counts, "content_sha", "left").join(shas, "content_sha", "left")
-    differs = F.col("proposal").isNotNull() & (F.lower("proposal") != F.lower("norm_text"))
+    differs = F.col("proposal").isNotNull() & (tx.casefold(F.col("proposal")) != tx.casefold(F.col("norm_text")))
     twice, suspect = F.coalesce(F.col("copies") > 1, F.lit(False)), F.coalesce("suspect", F.lit(False))
     malformed, guarded = F.col("content_sha").isNull(), F.coalesce("guarded", F.lit(False))
     kept = F.when(differs & ~twice & ~suspect & ~malformed & ~guarded, F.col("proposal"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 from dataclasses import fields
+from pathlib import Path
 from typing import Any
+from urllib.parse import parse_qsl
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,22 +19,27 @@ from tidescribe.functions import text as tx
 from tidescribe.operators.mapping import current_reviews, last_per_key
 
 
-def numbered_lines(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """``path, line, value`` with physical line numbers from 1.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, value`` with physical line numbers from 1, for files of any size.
 
-    ``whole`` reads every file in one piece (exact, for files that fit a task); otherwise lines
-    are numbered by `zipWithIndex` over the splits of one file (the one use of an RDD here).
+    Files are read by splits, line by line. A row's place is its split (file and block start) and its number
+    within the split; lines of earlier splits of the file are counted once and added (one row per split is
+    summed by a window), so no file is held or numbered by one task.
     """
-    if whole:
-        rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("_i", "value"))
-        return rows.select("path", (F.col("_i") + 1).cast("long").alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (path, x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "path string, line long, value string")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("id"))
+    sizes = raw.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("path", "at", "first", before.alias("before"))
+    rows = raw.join(sizes, ["path", "at"])
+    return rows.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None, whole: bool = True) -> DataFrame:
-    """SRC01, SRC02: records with ``line``; blank lines are skipped, a bad line raises 'path:line'."""
-    rows = numbered_lines(spark, path, whole).filter(F.trim("value") != "")
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
+    """SRC01, SRC02: records with ``line``; blank lines are skipped, a bad line raises 'path:line'.
+
+    ``limit`` keeps the first records by path and line (a top-k, not a sort of all).
+    """
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
     if limit is not None:
         rows = rows.orderBy("path", "line").limit(limit)
     v = F.try_parse_json("value")
@@ -89,6 +97,28 @@ def replay_chunks(df: DataFrame, key: str, seconds: float, rate: int = 16000) ->
     return out.select(key, "index", start.alias("start"), (start + F.size("samples") / rate).alias("end"), "samples")
 
 
+def pcm_frames(stream: DataFrame, rate: int = 16000, width: int = 2) -> DataFrame:
+    """SRC07: chunks of frames ``session, seq, data`` (int16-LE bytes as they come): ``session, seq, index, start, end, samples, error``.
+
+    Index and start run on per session, over the frames that are whole samples; others are told as an error
+    and take no time. Works on streams and, replayed, on tables.
+    """
+    from tidescribe.streaming.processors import keyed
+
+    schema = "session string, seq long, index long, start double, end double, samples array<float>, error string"
+
+    def step(core: dict, r: dict) -> list[dict]:
+        data = r["data"]
+        if data is None or len(data) == 0 or len(data) % width:
+            return [{"seq": int(r["seq"]), "index": None, "start": None, "end": None, "samples": None, "error": "a frame is no whole number of samples"}]
+        x = numeric.mono_floats(bytes(data), width)
+        start, core["clock"] = core["clock"], core["clock"] + len(x)
+        core["index"] += 1
+        return [{"seq": int(r["seq"]), "index": core["index"] - 1, "start": start / rate, "end": core["clock"] / rate, "samples": x, "error": None}]
+
+    return keyed(stream, "session", lambda: {"clock": 0, "index": 0}, step, lambda core: [], schema)
+
+
 def pcm_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """SRC07: a live source: Parquet frames ``session, index, start, end, samples`` as they arrive in a folder."""
     schema = "session string, index long, start double, end double, samples array<float>"
@@ -168,23 +198,44 @@ def cached_evidence(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
     return wanted.join(cache, on), wanted.join(cache.select(*on).distinct(), on, "left_anti")
 
 
-def load_config(kind: type, *layers: dict[str, Any]):
-    """SRC18: a frozen dataclass filled from layers of settings, later ones first; text is coerced by field type."""
+TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
+
+
+def load_config(kind: type, *layers: dict[str, Any], choices: dict[str, tuple] | None = None):
+    """SRC18: a frozen dataclass filled from layers of settings, later ones first; text is coerced by field type.
+
+    ``choices`` names the values a field may have; an empty text counts as not given.
+    """
     out = {}
     for f in fields(kind):
-        for layer in reversed(layers):
-            raw = layer.get(f.name)
-            if raw is None or raw == "":
-                continue
-            t = getattr(f.type, "__name__", f.type)
-            if t == "bool" and isinstance(raw, str):
-                if raw.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
-                    raise ValueError(f"{f.name} is no boolean: {raw}")
-                raw = raw.lower() in ("1", "true", "yes", "on")
-            elif t in ("int", "float", "str"):
-                raw = {"int": int, "float": float, "str": str}[t](raw)
-            out[f.name] = raw
-            break
+        given = [v for layer in reversed(layers) if (v := layer.get(f.name)) not in (None, "")]
+        if not given:
+            continue
+        raw, t = given[0], str(getattr(f.type, "__name__", f.type)).split(" ")[0]
+        if t == "bool" and isinstance(raw, str):
+            if raw.lower() not in TRUE + FALSE:
+                raise ValueError(f"{f.name} is no boolean: {raw}")
+            raw = raw.lower() in TRUE
+        elif t in ("int", "float", "str"):
+            raw = {"int": int, "float": float, "str": str}[t](raw)
+        if choices and f.name in choices and raw not in choices[f.name]:
+            raise ValueError(f"{f.name} is none of {choices[f.name]}: {raw}")
+        out[f.name] = raw
     return kind(**out)
 
 
+def env_layer(prefix: str, environ: dict[str, str] | None = None, dotenv: str | None = None) -> dict[str, str]:
+    """SRC18: settings of variables ``PREFIX_NAME`` as ``name``; those of the environment before those of a ``.env`` file."""
+    out: dict[str, str] = {}
+    if dotenv and os.path.exists(dotenv):
+        for row in Path(dotenv).read_text(encoding="utf-8").splitlines():
+            name, sep, value = row.strip().removeprefix("export ").partition("=")
+            if sep and not name.startswith("#"):
+                out[name.strip()] = value.strip().strip("'\"")
+    out |= dict(os.environ if environ is None else environ)
+    return {k.removeprefix(f"{prefix}_").lower(): v for k, v in out.items() if k.startswith(f"{prefix}_")}
+
+
+def query_layer(query: str) -> dict[str, str]:
+    """SRC18: settings of a URL's query; the last of a repeated name counts."""
+    return dict(parse_qsl(query.lstrip("?"), keep_blank_values=False))

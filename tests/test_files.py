@@ -145,9 +145,9 @@ def test_frames_features_and_hashes(spark, tmp_path):
     got = files.pcm_frames(frames, rate=16).orderBy("seq").collect()
     assert [(r["index"], r.start) for r in got] == [(0, 0.0), (1, 0.5), (2, 1.0), (None, None), (3, 1.5)] and got[3].error and len(got[0].samples) == 8
     (tmp_path / "a b.bin").write_bytes(b"x" * 3_000_000)
-    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "one.bin").write_bytes(b"1")
     got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in numeric.file_hashes(spark, str(tmp_path)).collect()}
-    assert sorted(got.values()) == sorted([hashlib.sha256(b"x" * 3_000_000).hexdigest(), hashlib.sha256(b"").hexdigest()])
+    assert sorted(got.values()) == sorted([hashlib.sha256(b"x" * 3_000_000).hexdigest(), hashlib.sha256(b"1").hexdigest()])
     sound = spark.createDataFrame([("k", 1000, [0.1, -0.1] * 500), ("e", 1000, None)], "key string, rate int, samples array<float>")
     out = models.apply_model(sound, models.backend("features", "mel"), "key string, frames long, features array<double>").collect()
     assert {r.key: (r.frames, len(r.features)) for r in out} == {"k": (98, 98 * 40), "e": (0, 0)}

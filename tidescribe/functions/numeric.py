@@ -43,8 +43,9 @@ def to_number(col: Column) -> Column:
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """NUM04: common seconds of two intervals, at least 0."""
-    return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
+    """NUM04: common seconds of two intervals, at least 0; an interval without a bound has none."""
+    known = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))).otherwise(0.0)
 
 
 def duration(start: Column, end: Column) -> Column:
@@ -87,8 +88,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def match_confidence(distance: Column, threshold: float) -> Column:
-    """NUM11: 1 - d / threshold within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / threshold))
+    """NUM11: 1 - d / threshold within 0 and 1; null for a null distance."""
+    return F.when(distance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / threshold)))
 
 
 def resample_values(samples: list[float] | None, rate: int | None, to: int | None) -> list[float] | None:
@@ -144,7 +145,8 @@ def table_fingerprint(df: DataFrame, order: list[str], settings: dict | None = N
 def file_hashes(spark, path: str, pattern: str = "*", block: int = 1 << 20) -> DataFrame:
     """HSH01, HSH02: ``path, length, sha256`` of files, in order of path; each is streamed in blocks, however long.
 
-    Only paths are listed by Spark (contents are not read by it); an executor opens a file through Arrow's file system.
+    Only paths are listed by Spark, which leaves out files of no length (contents are not read by it); an executor
+    opens a file through Arrow's file system.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
 

@@ -145,10 +145,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     return both.filter((F.col("end") > F.col("start")) & (F.floor(F.col("start") / cell) == F.col("_c"))).drop("_c")
 
 
-def subtract(speech: DataFrame, dirty: DataFrame, keys: list[str]) -> DataFrame:
-    """IV02: the parts of merged ``speech`` that no interval of ``dirty`` covers."""
+def subtract(speech: DataFrame, dirty: DataFrame, keys: list[str], cell: float = 30.0) -> DataFrame:
+    """IV02: the parts of merged ``speech`` that no interval of ``dirty`` covers; the cell is in the times' unit."""
     a = merge(speech, keys).withColumnsRenamed({"start": "a", "end": "z"})
-    cuts = overlap_join(a.withColumns({"start": F.col("a"), "end": F.col("z")}), merge(dirty, keys), keys).select(*keys, F.col("l_a").alias("a"), F.col("l_z").alias("z"), "start", "end")
+    cuts = overlap_join(a.withColumns({"start": F.col("a"), "end": F.col("z")}), merge(dirty, keys), keys, cell).select(*keys, F.col("l_a").alias("a"), F.col("l_z").alias("z"), "start", "end")
     by = Window.partitionBy(*keys, "a", "z").orderBy("start")
     before = cuts.select(*keys, "a", "z", F.coalesce(F.lag("end").over(by), F.col("a")).alias("s"), F.col("start").alias("e"))
     after = cuts.groupBy(*keys, "a", "z").agg(F.max("end").alias("s")).select(*keys, "a", "z", "s", F.col("z").alias("e"))

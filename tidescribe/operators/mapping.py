@@ -149,10 +149,14 @@ def neighbour_context(df: DataFrame, key: str, text: str, max_gap: float = 1.5,
     return rows.withColumn("context", context).drop("_n", "_gap", "_d", "_run", "_s", "_before", "_p")
 
 
+def in_both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """SET02: the values both sides have."""
+    return a.select(column).intersect(b.select(column))
+
+
 def assert_disjoint(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """JN17, SET02: values both sides have; raises if there are any."""
-    both = a.select(column).intersect(b.select(column))
-    return both.filter(F.raise_error(F.concat(F.lit(f"{column} in both: "), F.col(column).cast("string"))).cast("boolean"))
+    """JN17: no rows; raises if the sides have a value in common."""
+    return in_both(a, b, column).filter(F.raise_error(F.concat(F.lit(f"{column} in both: "), F.col(column).cast("string"))).cast("boolean"))
 
 
 def unmatched(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """The same queries in ANSI SQL, written on their own."""
 
+import sys
+
 CUR = """cur AS (SELECT source_id, turn_id, speaker_id AS speaker, s, e FROM (
   SELECT *, CAST(round(start_sec * 1000) AS BIGINT) s, CAST(round(end_sec * 1000) AS BIGINT) e,
     row_number() OVER (PARTITION BY turn_id ORDER BY version DESC NULLS LAST, arrived_at DESC NULLS LAST) rn
@@ -27,6 +29,12 @@ def count_chars(ranges: str) -> str:
     return f"CAST(sum(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[{ranges}]', '', 'g'))) AS BIGINT)"
 
 
+def other_digits() -> str:
+    """Class of the digits (of any kind) outside the blocks of the scripts that are counted."""
+    blocks = [(0x0E00, 0x0E7F), (0x0400, 0x04FF), (0x0370, 0x03FF), (0x0600, 0x06FF), (0x0900, 0x097F)]
+    return "".join(f"\\x{{{p:X}}}" for p in range(sys.maxunicode + 1) if chr(p).isdigit() and not any(a <= p <= b for a, b in blocks))
+
+
 SQL = {
     "turns_merged": f"WITH {CUR}, {islands('m', 'cur', 500)} SELECT source_id, s AS start_ms, e AS end_ms FROM m",
     "turns_bridged": f"""WITH {CUR}, f AS (SELECT source_id, speaker, CASE WHEN s - lag(e) OVER (PARTITION BY source_id, speaker ORDER BY s, e) > 800 THEN 1 ELSE 0 END g FROM cur)
@@ -40,10 +48,15 @@ st AS (SELECT source_id, t, sum(d) OVER (PARTITION BY source_id ORDER BY t ROWS
 hot AS (SELECT source_id, t s, n e FROM st WHERE act >= 2 AND n IS NOT NULL), {islands('m', 'hot')}
 SELECT source_id, s AS start_ms, e AS end_ms FROM m""",
     "asr_speech_overlap": f"{COMMON} SELECT source_id, CAST(c AS BIGINT) AS common_ms FROM both_",
-    "speech_without_asr": f"{COMMON} SELECT source_id, CAST(sum(b.e - b.s) - coalesce(max(c), 0) AS BIGINT) AS missed_ms FROM b LEFT JOIN both_ USING (source_id) GROUP BY 1",
-    "asr_speakers": f"""WITH {CUR}, {ASR}, p AS (SELECT asr.asr_id, cur.speaker, least(asr.e, cur.e) - greatest(asr.s, cur.s) o,
-  row_number() OVER (PARTITION BY asr.asr_id ORDER BY least(asr.e, cur.e) - greatest(asr.s, cur.s) DESC, cur.s, cur.turn_id) r
-  FROM asr JOIN cur ON asr.source_id = cur.source_id AND asr.s < cur.e AND asr.e > cur.s)
+    "speech_without_asr": f"""WITH {CUR}, {ASR}, {islands('a', 'asr')}, {islands('b', 'cur')},
+ed AS (SELECT source_id, s t, 1 sp, 0 di FROM b UNION ALL SELECT source_id, e, -1, 0 FROM b UNION ALL SELECT source_id, s, 0, 1 FROM a UNION ALL SELECT source_id, e, 0, -1 FROM a),
+pt AS (SELECT source_id, t, sum(sp) sp, sum(di) di FROM ed GROUP BY 1, 2),
+st AS (SELECT source_id, t, lead(t) OVER w n, sum(sp) OVER w sp, sum(di) OVER w di FROM pt WINDOW w AS (PARTITION BY source_id ORDER BY t)),
+fr AS (SELECT source_id, t s, n e FROM st WHERE sp > 0 AND di = 0), {islands('m', 'fr')} SELECT source_id, s AS start_ms, e AS end_ms FROM m""",
+    "asr_speakers": f"""WITH {CUR}, {ASR}, cf AS (SELECT turn_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY version DESC NULLS LAST, arrived_at DESC NULLS LAST) z FROM diarization_turns WHERE speaker_id IS NOT NULL AND confidence IS NOT NULL) WHERE z = 1),
+p AS (SELECT asr.asr_id, cur.speaker, least(asr.e, cur.e) - greatest(asr.s, cur.s) o,
+  row_number() OVER (PARTITION BY asr.asr_id ORDER BY least(asr.e, cur.e) - greatest(asr.s, cur.s) DESC, coalesce(cf.confidence, 0) DESC, cur.s, cur.turn_id) r
+  FROM asr JOIN cur ON asr.source_id = cur.source_id LEFT JOIN cf ON cf.turn_id = cur.turn_id WHERE asr.s < cur.e AND asr.e > cur.s)
 SELECT asr.asr_id, coalesce(p.speaker, 'UNKNOWN') AS speaker, coalesce(p.o, 0) AS overlap_ms FROM asr LEFT JOIN p ON asr.asr_id = p.asr_id AND p.r = 1""",
     "asr_risky_boundaries": f"""WITH {CUR}, {ASR}, q AS (SELECT source_id, e, lead(s) OVER (PARTITION BY source_id ORDER BY s, e) n FROM asr)
 SELECT source_id, count(*) AS risky FROM q WHERE n IS NOT NULL AND EXISTS (SELECT 1 FROM cur WHERE cur.source_id = q.source_id AND q.e > cur.s + 250 AND q.e < cur.e - 250) GROUP BY 1""",
@@ -81,11 +94,11 @@ SELECT clip_id, r <= greatest(1, least(n - 1, round(n * 0.1))) AS held_out FROM
     "selection_report": f"""WITH {CLIPS} SELECT CASE WHEN strpos(replace(file_name, '\\', '/'), '/') > 0 THEN split_part(replace(file_name, '\\', '/'), '/', 1) ELSE 'train' END AS split,
 CASE WHEN training_eligible IS NULL THEN 'legacy' WHEN training_eligible THEN 'included' ELSE 'excluded' END AS state, count(*) AS "rows", count(DISTINCT source_id) AS sources FROM clips GROUP BY 1, 2""",
     "fastest_clips": f"WITH {CLIPS} SELECT clip_id, round(length(text) / speech_duration, 6) AS rate FROM clips ORDER BY coalesce(round(length(text) / speech_duration, 6), -1) DESC, CAST(clip_id AS VARCHAR) DESC LIMIT 10",
-    "rolling_prompts": f"""WITH {ASR} SELECT asr_id, right(coalesce(array_to_string(list(text) OVER (PARTITION BY source_id ORDER BY s, asr_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' '), ''), 120) AS prompt FROM asr WHERE text IS NOT NULL""",
+    "rolling_prompts": f"""WITH {ASR} SELECT asr_id, right(coalesce(array_to_string(list(text) OVER (PARTITION BY source_id ORDER BY s, asr_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' '), ''), 600) AS prompt FROM asr WHERE text IS NOT NULL""",
     "top_languages": "SELECT language, count(*) AS n FROM (SELECT DISTINCT chunk_id, language FROM labeled_chunks) WHERE language IS NOT NULL GROUP BY 1 ORDER BY n DESC, language LIMIT 12",
     "chunk_status": "SELECT boundary_method, count(*) AS n, count(*) FILTER (WHERE round(source_end * 1000) - round(source_start * 1000) <= 3000) AS n_short FROM (SELECT DISTINCT chunk_id, boundary_method, source_start, source_end FROM labeled_chunks) GROUP BY 1",
-    "script_counts": f"""SELECT kind, {count_chars('฀-๿')} AS thai, {count_chars('぀-ゟ')} AS hiragana, {count_chars('゠-ヿㇰ-ㇿ')} AS katakana, {count_chars('㐀-䶿一-鿿')} AS cjk,
-{count_chars('ᄀ-ᇿ가-힯')} AS hangul, {count_chars('Ѐ-ӿ')} AS cyrillic FROM documents GROUP BY 1""",
+    "script_counts": f"""SELECT kind, {count_chars('฀-๿')} AS thai, {count_chars('A-Za-z')} AS latin, {count_chars('぀-ゟ')} AS hiragana, {count_chars('゠-ヿㇰ-ㇿ')} AS katakana, {count_chars('㐀-䶿一-鿿')} AS cjk,
+{count_chars('가-힯')} AS hangul, {count_chars('Ѐ-ӿ')} AS cyrillic, {count_chars(other_digits())} AS digit FROM documents GROUP BY 1""",
     "import_preview": """WITH r AS (SELECT DISTINCT proposal_id, CAST(item_id AS VARCHAR) AS key, method, CASE WHEN trim(coalesce(text, '')) = '' THEN 'reject' ELSE 'correct' END AS act, lower(trim(text)) lab, submitted_at FROM proposed_labels),
 c AS (SELECT *, row_number() OVER (PARTITION BY key, method ORDER BY CAST(submitted_at AS VARCHAR) DESC, proposal_id) k FROM r),
 o AS (SELECT * FROM c WHERE k = 1 AND method = 'manual'), t AS (SELECT * FROM c WHERE k = 1 AND method = 'audio_replay'), w AS (SELECT DISTINCT key FROM r WHERE method IN ('manual', 'spelling_fix'))
@@ -95,14 +108,14 @@ SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'reject' WHEN trim(text) = t
     "embedding_centroids": f"WITH {CENTROID} SELECT speaker, i, round(x, 5) AS x FROM cents",
     "embedding_nearest": f"""WITH {CENTROID}, c AS (SELECT speaker, list(x ORDER BY i) v FROM cents GROUP BY 1), q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings),
 d AS (SELECT vec_id, speaker, 1 - list_inner_product(e, v) / sqrt(list_inner_product(e, e)) dist FROM q, c)
-SELECT vec_id, arg_min(speaker, dist) AS speaker, round(min(dist), 5) AS distance FROM d GROUP BY 1""",
+SELECT vec_id, CASE WHEN min(dist) <= 0.75 THEN arg_min(speaker, dist) END AS speaker, round(min(dist), 5) AS distance, CASE WHEN min(dist) <= 0.75 THEN round(greatest(0, least(1, 1 - min(dist) / 0.75)), 5) ELSE 0 END AS confidence FROM d GROUP BY 1""",
     "speaker_runs": f"""WITH {CUR}, f AS (SELECT source_id, speaker, s, e, CASE WHEN lag(speaker) OVER w <> speaker OR s > max(e) OVER (PARTITION BY source_id ORDER BY s, e, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1000 THEN 1 ELSE 0 END g FROM cur WINDOW w AS (PARTITION BY source_id ORDER BY s, e, speaker)),
 h AS (SELECT *, sum(g) OVER (PARTITION BY source_id ORDER BY s, e, speaker ROWS UNBOUNDED PRECEDING) i FROM f), r AS (SELECT source_id, i, any_value(speaker) speaker, min(s) s, max(e) e FROM h GROUP BY 1, 2),
 q AS (SELECT source_id, max(e) OVER (PARTITION BY source_id ORDER BY i ROWS UNBOUNDED PRECEDING) s, lead(s) OVER (PARTITION BY source_id ORDER BY i) e FROM r)
 SELECT source_id, speaker, s AS start_ms, e AS end_ms FROM r UNION ALL SELECT source_id, NULL, s, e FROM q WHERE e > s""",
-    "event_windows": """SELECT user_id, h * 3600 - k * 3600 AS start_s, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM (
-  SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) h, CAST(round(value * 100) AS BIGINT) c FROM events), (VALUES (0), (1)) v(k) GROUP BY 1, 2""",
-    "text_identities": "SELECT sha256(text) AS sha, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "event_windows": """WITH c AS (SELECT source_id, i * 10.0 s, least(i * 10.0 + 10, duration_seconds) e FROM (SELECT source_id, duration_seconds, unnest(range(0, CAST(greatest(0, ceil((duration_seconds - 10) / 10)) AS BIGINT) + 1)) i FROM sources WHERE duration_seconds > 0)),
+x AS (SELECT source_id, s, e, unnest(range(CAST(greatest(0, ceil((e - 60) / 20)) AS BIGINT), CAST(floor(s / 20) AS BIGINT) + 1)) w FROM c)
+SELECT source_id, w * 20 AS start_s, count(*) AS n FROM x GROUP BY source_id, w HAVING min(s) <= w * 20 AND max(e) >= w * 20 + 60""",
     "event_percentiles": """SELECT event_type, count(*) AS hops, round(quantile_cont(value, 0.5), 6) AS runtime_p50, round(quantile_cont(value, 0.95), 6) AS runtime_p95,
 round(quantile_cont(CAST(floor(second(ts)) AS DOUBLE), 0.5), 6) AS latency_p50, round(quantile_cont(CAST(floor(second(ts)) AS DOUBLE), 0.95), 6) AS latency_p95 FROM events GROUP BY 1""",
     "turns_with_words": f"""WITH {CUR}, {ASR} SELECT source_id, count(*) AS n FROM cur WHERE EXISTS (SELECT 1 FROM asr WHERE asr.source_id = cur.source_id AND asr.s < cur.e AND asr.e > cur.s) GROUP BY 1""",

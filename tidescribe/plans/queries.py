@@ -55,8 +55,8 @@ def speech_union(spark, d):
 
 
 def speaker_time(spark, d):
-    """IV23."""
-    return turns(spark, d).groupBy("source_id", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("spoken_ms"))
+    """IV23: seconds per speaker of a source."""
+    return iv.seconds_by_label(turns(spark, d), ["source_id", "speaker"]).select("source_id", "speaker", F.col("seconds").cast("long").alias("spoken_ms"))
 
 
 def overlap_regions(spark, d):
@@ -72,17 +72,14 @@ def asr_speech_overlap(spark, d):
 
 
 def speech_without_asr(spark, d):
-    """IV02: speech that no recognised segment covers, per source."""
-    a = iv.merge(turns(spark, d), ["source_id"])
-    b = iv.merge(asr(spark, d), ["source_id"])
-    left = a.groupBy("source_id").agg(F.sum(F.col("end") - F.col("start")).alias("a"))
-    both = iv.overlap_join(a, b, ["source_id"], 30_000).groupBy("source_id").agg(F.sum(F.col("end") - F.col("start")).alias("c"))
-    return left.join(both, "source_id", "left").select("source_id", (F.col("a") - F.coalesce("c", F.lit(0))).alias("missed_ms"))
+    """IV02: the parts of speech that no recognised segment covers."""
+    return iv.subtract(turns(spark, d), asr(spark, d), ["source_id"], 30_000).withColumnsRenamed({"start": "start_ms", "end": "end_ms"})
 
 
 def asr_speakers(spark, d):
-    """JN09: speaker of every recognised segment by most common time; ties: the earlier turn."""
-    t = turns(spark, d).withColumn("confidence", F.lit(1.0))
+    """JN09: speaker of every recognised segment by most common time, then confidence, then the earlier turn."""
+    rows = table(spark, d, "diarization_turns").filter("speaker_id is not null and confidence is not null").groupBy("turn_id").agg(F.max_by("confidence", F.struct("version", "arrived_at")).alias("confidence"))
+    t = turns(spark, d).join(rows, "turn_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     return mapping.best_overlap(asr(spark, d), t, "source_id", "asr_id", 30_000).select("asr_id", "speaker", F.col("overlap").cast("long").alias("overlap_ms"))
 
 
@@ -107,10 +104,9 @@ def scorecard(spark, d):
 
 
 def segments_latest(spark, d):
-    """WN04, WN05: newest revision of every segment."""
-    rows = table(spark, d, "transcript_segments").select("segment_id", "revision", "emitted_at", "source_id", "is_final", "text")
-    best = rows.groupBy("segment_id").agg(F.max(F.struct("revision", "emitted_at", "source_id", "is_final", "text")).alias("b"))
-    return best.select("segment_id", "b.revision", "b.source_id", "b.is_final", "b.text")
+    """WN05: newest revision of every segment."""
+    rows = table(spark, d, "transcript_segments").select("segment_id", "revision", "source_id", "is_final", "text", F.struct("revision", "emitted_at").alias("at"))
+    return mapping.last_per_key(rows, "segment_id", "at").drop("at")
 
 
 def _clips(spark, d):
@@ -125,13 +121,13 @@ def duplicate_audio(spark, d):
 
 
 def manifest(spark, d):
-    """FLT01-FLT03, JN01-JN04: disposition and reasons of every clip; content of test clips is protected."""
+    """FLT01, FLT02, JN03, JN04: disposition and reasons of every clip that is not of the test split; content of test clips is protected."""
     clips = _clips(spark, d)
     rows = clips.select(F.col("clip_id").alias("key"), F.col("text").alias("label"), F.col("speech_duration").alias("seconds"), F.col("audio_sha256").alias("content_sha"))
     guarded = clips.filter(F.lower(selection.split_name(F.regexp_replace("file_name", r"^\./", ""))) == "test").select(F.col("audio_sha256").alias("content_sha"))
     train = rows.join(clips.filter(F.lower(selection.split_name(F.regexp_replace("file_name", r"^\./", ""))) != "test").select(F.col("clip_id").alias("key")), "key", "left_semi")
-    out = quality.candidate_manifest(train, guarded, scripts=["thai", "latin", "han", "hiragana", "katakana"])
-    return out.select(F.col("key").alias("clip_id"), "disposition", F.array_join("reasons", ",").alias("reasons"), F.round("char_rate", 6).alias("char_rate"))
+    out = quality.candidate_manifest(train, guarded, scripts=["thai", "latin"])
+    return out.select(F.col("key").alias("clip_id"), "disposition", F.array_join("reasons", ",").alias("reasons"), F.round("char_rate", 6).alias("char_rate"), F.size(quality.evidence()).alias("n_evidence"))
 
 
 def manifest_counts(spark, d):
@@ -161,8 +157,7 @@ def label_consensus(spark, d):
 def sources_in_both(spark, d):
     """SET02, JN17: sources with clips of both train and test."""
     rows = _clips(spark, d).filter("trim(source_id) <> ''")
-    train, test = (rows.filter(F.col("file_name").startswith(f"{s}/")).select("source_id") for s in ("train", "test"))
-    return train.intersect(test)
+    return mapping.in_both(*(rows.filter(F.col("file_name").startswith(f"{s}/")) for s in ("train", "test")), "source_id")
 
 
 def sources_without_turns(spark, d):
@@ -209,9 +204,9 @@ def chunk_status(spark, d):
 
 def script_counts(spark, d):
     """STR06: characters of some scripts per kind of document."""
-    c = tx.script_counts(F.coalesce("text", F.lit("")), ("Thai", "Hiragana", "Katakana", "CJK", "Hangul", "Cyrillic"))
+    c = tx.script_counts(F.coalesce("text", F.lit("")), ("Thai", "Latin", "Hiragana", "Katakana", "CJK", "Hangul", "Cyrillic", "Digit"))
     one = lambda k: F.sum(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0))).cast("long").alias(k.lower())
-    return table(spark, d, "documents").select("kind", c.alias("m")).groupBy("kind").agg(*[one(k) for k in ("Thai", "Hiragana", "Katakana", "CJK", "Hangul", "Cyrillic")])
+    return table(spark, d, "documents").select("kind", c.alias("m")).groupBy("kind").agg(*[one(k) for k in ("Thai", "Latin", "Hiragana", "Katakana", "CJK", "Hangul", "Cyrillic", "Digit")])
 
 
 def import_preview(spark, d):
@@ -238,10 +233,11 @@ def embedding_centroids(spark, d):
 
 
 def embedding_nearest(spark, d):
-    """JN15, NUM10: nearest label centroid of every vector."""
+    """JN15, NUM10, NUM11: nearest label centroid of every vector, if it is near enough, and the confidence."""
     rows = table(spark, d, "embeddings")
     c = speakers.centroids(rows.select(F.col("label").cast("string").alias("speaker"), "embedding", F.lit(1.0).alias("w")), "speaker", "embedding", "w")
-    return speakers.nearest_profile(rows, c, "vec_id", "embedding", 2.5).select("vec_id", "speaker", F.round("distance", 5).alias("distance"))
+    out = speakers.nearest_profile(rows, c, "vec_id", "embedding", 0.75)
+    return out.select("vec_id", "speaker", F.round("distance", 5).alias("distance"), F.round("confidence", 5).alias("confidence"))
 
 
 def speech_windows(spark, d):
@@ -293,13 +289,6 @@ def language_spans(spark, d):
     return spans.groupBy(F.col("s.language").alias("language")).agg(F.count("*").alias("spans"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"))
 
 
-def annotator_scores(spark, d):
-    """NUM01, NUM02, AG02: every proposal against its item's consensus text, summed per method."""
-    rows = table(spark, d, "proposed_labels").select("proposal_id", "item_id", "method", "text").distinct()
-    best = quality.consensus(rows, "item_id", "method", "text").select("item_id", F.col("text_key").alias("reference"))
-    return evaluate.summary(evaluate.scores(rows.join(best, "item_id"), "reference", "text"), "method")
-
-
 def neighbour_context(spark, d):
     """JN16: texts just before every recognised segment."""
     rows = asr(spark, d).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
@@ -313,11 +302,10 @@ def merged_short(spark, d):
 
 
 def event_windows(spark, d):
-    """ST01, ST03: events per user in full sliding windows of two hours, an hour apart."""
-    rows = table(spark, d, "events")
-    w = F.window(F.col("ts").cast("timestamp"), "2 hours", "1 hour")
-    out = rows.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return out.select("user_id", F.unix_seconds("w.start").alias("start_s"), "n", "cents")
+    """ST03: every source as chunks of ten seconds: full windows of a minute, twenty seconds apart."""
+    rows = planner.fixed_windows(table(spark, d, "sources").select("source_id", F.col("duration_seconds").alias("duration")), "source_id", 10.0, 10.0)
+    rows = rows.select(F.col("source_id").alias("session"), F.col("start").cast("double").alias("start"), "end")
+    return processors.sliding_windows(rows, 60, 20).select(F.col("session").alias("source_id"), F.col("window_start").cast("long").alias("start_s"), "n")
 
 
 def speaker_identities(spark, d):
@@ -327,8 +315,8 @@ def speaker_identities(spark, d):
 
 
 def text_identities(spark, d):
-    """HSH01, STR02: texts that several documents share, by hash."""
-    rows = table(spark, d, "documents").filter("text is not null").select(F.sha2(F.col("text"), 256).alias("sha"))
+    """STR02: texts that several documents share, by identity (NFKC, white space and case aside)."""
+    rows = table(spark, d, "documents").filter("text is not null").select(tx.content_identity(F.col("text")).alias("sha"))
     return rows.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,12 +33,16 @@ def build_session(app: str = "tidescribe", cores: int | str = "*") -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is made.
+    Only a local session (tests, one machine) that names none gets a temporary folder; on a cluster that is an
+    error, as executors would write to disks of their own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidescribe-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -49,8 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/scratch-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's part of the shared folder for a written table."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every written table of this application, once the results that read them are consumed or stored."""
+    drop_path(spark, _scratch(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -72,7 +72,7 @@ def manifest_csv(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> str:
     """SNK02, SNK08."""
-    return publish(manifest_csv(df), path, "csv", overwrite, header="true", escape='"')
+    return publish(manifest_csv(df), path, "csv", overwrite, header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 
 SPANS = "array<struct<start:double,end:double>>"

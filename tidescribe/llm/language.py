@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidescribe.llm import textops
@@ -133,12 +133,14 @@ class Classifier:
     def _step(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray) -> None:
         cols, local = np.unique(col, return_inverse=True)
         w = self._solve(cols)
+        # Rows are sorted: their logits are sums of stretches; gradients are summed per feature, one language at a time.
+        head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         logits = np.zeros((len(label), len(LANGUAGES)))
-        np.add.at(logits, row, w[local] * value[:, None])
+        logits[row[head]] = np.add.reduceat(w[local] * value[:, None], head, axis=0)
         miss = np.exp(self._soft(logits))
         miss[np.arange(len(label)), label] -= 1
-        g = np.zeros_like(w, dtype=np.float64)
-        np.add.at(g, local, miss[row] * value[:, None])
+        part = miss[row] * value[:, None]
+        g = np.column_stack([np.bincount(local, part[:, k], len(cols)) for k in range(len(LANGUAGES))])
         n = self.n[cols]
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
         self.z[cols] += (g - sigma * w).astype(np.float32)
@@ -159,68 +161,96 @@ class Classifier:
             out[r[head]] += np.add.reduceat(x, head, axis=0)
         return out
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Calibrated log-probabilities of every word."""
-        distinct, which = np.unique(np.array(words, dtype=object), return_inverse=True)
-        row, col, value = tfidf(*features(list(distinct)), len(distinct), self.idf)
-        return self._soft(self._logits(row, col, value, len(distinct)) / self.temperature)[which]
+    def word_scores(self, distinct: list[str]) -> np.ndarray:
+        """Calibrated log-probabilities of words."""
+        row, col, value = tfidf(*features(distinct), len(distinct), self.idf)
+        return self._soft(self._logits(row, col, value, len(distinct)) / self.temperature)
 
     def stretches(self, texts: list[str | None]) -> list[list[tuple[int, float, int]]]:
-        """Of every text its stretches: language number, confidence, words."""
+        """Of every text its stretches: language number, confidence, words.
+
+        Distinct words are scored once. A text whose words all lean to one language is that language; the best
+        paths of the others are found together, step by step over their padded words.
+        """
         split = [units(t) if t else [] for t in texts]
-        words = [w for u in split for w in u]
-        if not words:
+        size = np.array([len(u) for u in split])
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for u in split for w in u], dtype=np.int64)
+        if not len(which):
             return [[] for _ in texts]
-        score = self.word_scores(words)
-        weight = np.array([max(1.0, len(w) / LETTERS_A_WORD) if DENSE.match(w) else min(1.0, 0.4 + len(w) / 8) for w in words])
-        gain = np.maximum(score - score.max(axis=1, keepdims=True), -FLOOR) * weight[:, None]
-        letters = np.array([len(w) for w in words])
-        dense = np.array([bool(DENSE.match(w)) for w in words])
-        out, at = [], 0
-        for u in split:
-            out.append(self._path(gain[at : at + len(u)], np.exp(score[at : at + len(u)]), letters[at : at + len(u)], dense[at : at + len(u)]))
-            at += len(u)
+        distinct = list(number)
+        score = self.word_scores(distinct)
+        letters, dense = np.array([len(w) for w in distinct]), np.array([bool(DENSE.match(w)) for w in distinct])
+        weight = np.where(dense, np.maximum(1.0, letters / LETTERS_A_WORD), np.minimum(1.0, 0.4 + letters / 8))
+        gain = (np.maximum(score - score.max(axis=1, keepdims=True), -FLOOR) * weight[:, None])[which]
+        sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(np.exp(score)[which], axis=0)])
+        letters, dense = letters[which], dense[which]
+        start = np.concatenate([[0], np.cumsum(size)])
+        lean = gain.argmax(axis=1)
+        held = np.flatnonzero(size)
+        path = np.repeat(lean[start[held]], size[held])
+        mixed = held[np.bitwise_or.reduceat(lean != path, start[held])]
+        for part in _parts(mixed[np.argsort(-size[mixed], kind="stable")], size):
+            _best_paths(gain, start, size, part, path)
+        owner = np.repeat(np.arange(len(texts)), size)
+        edge = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])))
+        ends, of = np.append(edge[1:], len(path)), owner[edge]
+        first = np.searchsorted(of, np.arange(len(texts) + 1))
+        out = []
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            runs = [[int(path[a]), a, b] for a, b in zip(edge[i:j].tolist(), ends[i:j].tolist())]
+            runs = _without_short(runs, letters, dense) if len(runs) > 1 else runs
+            out.append([(lang, float((sums[b, lang] - sums[a, lang]) / (b - a)), b - a) for lang, a, b in runs])
         return out
 
-    def _path(self, gain: np.ndarray, prob: np.ndarray, letters: np.ndarray, dense: np.ndarray) -> list[tuple[int, float, int]]:
-        n = len(gain)
-        if n == 0:
-            return []
-        if (gain.argmax(axis=1) == gain[0].argmax()).all():
-            path = np.full(n, gain[0].argmax())
-        else:
-            best, back = gain[0].copy(), np.zeros((n, gain.shape[1]), dtype=np.int64)
-            for i in range(1, n):
-                top = int(best.argmax())
-                change = best[top] - SWITCH > best
-                back[i] = np.where(change, top, np.arange(len(best)))
-                best = np.where(change, best[top] - SWITCH, best) + gain[i]
-            path = np.zeros(n, dtype=np.int64)
-            path[-1] = int(best.argmax())
-            for i in range(n - 1, 0, -1):
-                path[i - 1] = back[i, path[i]]
-        runs = []
-        for i in range(n):
-            if runs and runs[-1][0] == path[i]:
-                runs[-1][2] = i + 1
+
+def _parts(texts: np.ndarray, size: np.ndarray, cells: int = 300_000) -> list[np.ndarray]:
+    """Texts by descending size in parts whose padded words stay within ``cells`` (a longer text is a part of its own)."""
+    out, i = [], 0
+    while i < len(texts):
+        n = max(1, cells // int(size[texts[i]]))
+        out.append(texts[i : i + n])
+        i += n
+    return out
+
+
+def _best_paths(gain: np.ndarray, start: np.ndarray, size: np.ndarray, texts: np.ndarray, path: np.ndarray) -> None:
+    """Writes the best language of every word of the texts (of descending size) into ``path``: a change costs SWITCH."""
+    k = gain.shape[1]
+    n = size[texts]
+    best, back = gain[start[texts]].copy(), np.zeros((int(n[0]), len(texts), k), dtype=np.int8)
+    same = np.arange(k)
+    for i in range(1, int(n[0])):
+        m = int(np.searchsorted(-n, -i, side="left"))  # the texts that have a word i
+        top = best[:m].argmax(axis=1)
+        most = best[np.arange(m), top] - SWITCH
+        change = most[:, None] > best[:m]
+        back[i, :m] = np.where(change, top[:, None], same)
+        best[:m] = np.where(change, most[:, None], best[:m]) + gain[start[texts[:m]] + i]
+    at = best.argmax(axis=1)
+    for i in range(int(n[0]) - 1, -1, -1):
+        m = int(np.searchsorted(-n, -i, side="left"))
+        path[start[texts[:m]] + i] = at[:m]
+        at[:m] = back[i, np.arange(m), at[:m]]
+
+
+def _without_short(runs: list[list[int]], letters: np.ndarray, dense: np.ndarray) -> list[list[int]]:
+    """The shortest run that is no more than a foreign word or name falls to its longer neighbour, again and again."""
+    while len(runs) > 1:
+        size = [int(letters[s:e].sum()) if e - s >= 3 or dense[s:e].any() else 0 for _, s, e in runs]
+        k = size.index(min(size))
+        if size[k] >= 8:
+            break
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(runs)]
+        runs[k][0] = runs[max(near, key=lambda j: runs[j][2] - runs[j][1])][0]
+        merged = [runs[0]]
+        for run in runs[1:]:
+            if run[0] == merged[-1][0]:
+                merged[-1][2] = run[2]
             else:
-                runs.append([int(path[i]), i, i + 1])
-        while len(runs) > 1:  # the shortest run that is no more than a foreign word or name falls to a neighbour
-            size = [letters[s:e].sum() if dense[s:e].any() else letters[s:e].sum() if e - s >= 3 else 0 for _, s, e in runs]
-            k = int(np.argmin(size))
-            if size[k] >= 8:
-                break
-            near = [j for j in (k - 1, k + 1) if 0 <= j < len(runs)]
-            to = max(near, key=lambda j: runs[j][2] - runs[j][1])
-            runs[k][0] = runs[to][0]
-            merged = [runs[0]]
-            for run in runs[1:]:
-                if run[0] == merged[-1][0]:
-                    merged[-1][2] = run[2]
-                else:
-                    merged.append(run)
-            runs = merged
-        return [(lang, float(prob[s:e, lang].mean()), e - s) for lang, s, e in runs]
+                merged.append(run)
+        runs = merged
+    return runs
 
 
 def parse_label(label: str | None) -> str | None:
@@ -284,8 +314,12 @@ def train(chunks: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Cla
     """Fit on at most ``sample`` chunks of each single-language label; labels may be wrong or free in spelling."""
     idf = frequencies(chunks.select(F.col(text)))
     held = chunks.select(F.col(text).alias("t"), label_set(F.col(label)).alias("l")).filter(F.col("l").isin(LANGUAGES) & (F.length(F.trim("t")) > 0))
+    # The least hashes of every language in one scan: each partition keeps its own least, and the ranks are taken of those.
     held = held.withColumn("h", F.xxhash64("t", "l"))
-    rows = [r for lang in LANGUAGES for r in held.filter(F.col("l") == lang).orderBy("h", "t").limit(sample).select("t", "l").collect()]
+    best = held.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("l", "p").orderBy("h", "t"))).filter(F.col("r") <= sample)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= sample)
+    rows = best.orderBy("l", "r").select("t", "l").collect()
+    rows = [r for lang in LANGUAGES for r in rows if r.l == lang]
     texts, labels = [r.t for r in rows], [LANGUAGES.index(r.l) for r in rows]
     model = Classifier(idf)
     for again in range(3):

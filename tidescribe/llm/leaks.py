@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidescribe.llm import textops
 
-#: Characters of test items that go to the executors at once; more are done block by block.
-ITEM_CHARS = 20_000_000
+#: Bytes of the keys of test suffixes that go to the executors at once; more are done block by block.
+ITEM_BYTES = 64_000_000
 
 
 def _keys(a: np.ndarray, at: np.ndarray, limit: np.ndarray, depth: int, width: int | None = None) -> np.ndarray:
@@ -47,14 +47,16 @@ class TestSuffixes:
         self.low = _keys(a, at, end, run) if len(at) else np.zeros(0, dtype=f"S{3 * run}")
         h = textops.window_hash(textops.prefix_hash(a), at, at + anchor)
         self.bits = max(16, int(len(h) * 16).bit_length())
+        self.cell = h >> np.uint64(64 - self.bits)
         self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[h >> np.uint64(64 - self.bits)] = True
+        self.seen[self.cell] = True
 
     def matches(self, a: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         """Per row of the shard and item: characters of the item covered, longest match, its place."""
         empty = {k: np.zeros(0, dtype=np.int64) for k in ("row", "item", "covered", "longest", "place")}
         h = textops.rolling_hash(textops.prefix_hash(a), self.anchor)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.bits)]) if len(h) and len(self.low) else np.zeros(0, dtype=np.int64)
+        cell = h >> np.uint64(64 - self.bits)
+        at = np.flatnonzero(self.seen[cell]) if len(h) and len(self.low) else np.zeros(0, dtype=np.int64)
         row = np.searchsorted(rows, at, side="right") - 1
         keep = at + self.run <= rows[row + 1]
         at, row = at[keep], row[keep]
@@ -63,9 +65,13 @@ class TestSuffixes:
         key = _keys(a, at, at + self.run, self.run)
         suffix_array = np.argsort(key, kind="stable")
         ordered = key[suffix_array]
-        left, right = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.low, "right")
+        # Only test suffixes whose first characters stand in this shard are looked up: the work follows what may match.
+        here = np.zeros(len(self.seen), dtype=bool)
+        here[cell[at]] = True
+        asked = np.flatnonzero(here[self.cell])
+        left, right = np.searchsorted(ordered, self.low[asked], "left"), np.searchsorted(ordered, self.low[asked], "right")
         n = right - left
-        q = np.repeat(np.arange(len(n)), n)
+        q = np.repeat(asked, n)
         if not len(q):
             return empty
         p = suffix_array[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)]
@@ -96,12 +102,12 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     ``longest`` is the longest verbatim match and ``place`` its start in the folded document.
     Null and empty texts, and items shorter than ``run``, match nothing; exactly repeated items
     count once; items may repeat one another. Test items are bounded held-out data: their
-    size is checked, and beyond ``ITEM_CHARS`` they are searched block by block.
+    keys are counted, and beyond ``ITEM_BYTES`` of them they are searched block by block.
     """
     spark = corpus.sparkSession
     held = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null").distinct()
-    total = held.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // ITEM_CHARS))
+    total = held.agg(F.sum(F.greatest(F.length("t") - run + 1, F.lit(0)))).first()[0] or 0
+    blocks = max(1, -(-total * 3 * run // ITEM_BYTES))
     kind = corpus.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` bigint, covered bigint, item_chars bigint, longest bigint, place bigint"
     out = None

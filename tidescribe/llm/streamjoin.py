@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidescribe.operators.coverage import current_turns
-from tidescribe.runtime import drop_path, scratch_path
+from tidescribe.runtime import drop_path, scratch_path, written
 
 #: Event time of millisecond 0 (any fixed instant that leaves room below it), in ms since 1970.
 ORIGIN = 946_684_800_000
@@ -96,24 +96,28 @@ def nearest_stream(stream: DataFrame, tolerance: int, block: int) -> DataFrame:
     return rows.groupBy("entity", "cell").applyInPandasWithState(_step(tolerance), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, block: int = 600_000, slices: int = 4) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, block: int = 3_600_000, slice_rows: int = 200_000_000, file_rows: int = 1_000_000) -> DataFrame:
     """Pair each ``left`` row (entity, t, left_id) with the nearest ``right`` row (entity, t, right_id).
 
     Times are whole milliseconds. Left rows with a null entity or time, and such right rows, take
     no part; left ids are unique (equal rows count once); either table may be empty. The result
     has one row per left row that takes part. ``block`` must exceed twice the tolerance.
+
+    The tables are replayed in slices of event time of about ``slice_rows`` rows, which bounds the state that all
+    executors hold together; a slice is written in files of about ``file_rows`` rows, so the writers grow with the data.
     """
     spark = left.sparkSession
     one = left.select("entity", F.lit(True).alias("is_left"), "t", F.col("left_id").cast("long").alias("left_id"), F.lit(None).cast("string").alias("right_id")).distinct()
     two = right.select("entity", F.lit(False).alias("is_left"), "t", F.lit(None).cast("long").alias("left_id"), F.col("right_id").cast("string").alias("right_id"))
-    rows = one.unionByName(two).filter("entity is not null and t is not null")
+    rows = written(one.unionByName(two).filter("entity is not null and t is not null"), "sides")
     base = scratch_path(spark, "nearest")
-    marks = left.agg(F.percentile_approx("t", [i / slices for i in range(1, slices)], 1000).alias("q"), F.max("t").alias("top"))
-    marks = marks.first()
-    cuts = sorted(set(marks.q or []))
-    number = sum((F.when(F.col("t") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows.withColumn("slice", number.cast("int")).repartition(F.col("slice"), F.pmod(F.xxhash64("entity", "t"), F.lit(8))).write.partitionBy("slice").parquet(f"{base}/all")
-    end = spark.createDataFrame([("", False, 2**42, None, "")], rows.schema)  # its event time closes every horizon
+    n = rows.count()
+    slices, parts = -(-n // slice_rows), max(1, -(-n // file_rows))
+    cuts = sorted(set(rows.agg(F.percentile_approx("t", [i / slices for i in range(1, slices)], 10 * slices).alias("q")).first().q)) if slices > 1 else []
+    number = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("t") > c)) if cuts else F.lit(0)
+    schema = rows.schema
+    rows.withColumn("slice", number.cast("int")).repartition(parts, "slice", "entity", F.floor(F.col("t") / block)).write.partitionBy("slice").parquet(f"{base}/all")
+    end = spark.createDataFrame([("", False, 2**42, None, "")], schema)  # its event time closes every horizon
     end.coalesce(1).write.parquet(f"{base}/all/slice={len(cuts) + 1}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -121,7 +125,7 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, block: int =
     for i in range(len(cuts) + 2):  # the next slice in time order joins the watched folder, the query goes on
         if not fs.rename(hadoop.Path(f"{base}/all/slice={i}"), hadoop.Path(f"{base}/in/slice={i}")):
             continue  # no rows in this slice
-        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/slice=*")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in/slice=*")
         query = (
             nearest_stream(stream, tolerance, block)
             .writeStream.format("parquet")

@@ -294,27 +294,29 @@ def test_consensus_outweighs_a_pool_of_copies(spark):
             data.append((n := n + 1, item, f"good{a}", "truth" if right else f"miss{rng.randrange(3)}", [f"view:{item}:{rng.choice('abcdefgh')}"], n))
         for a in range(6):
             data.append((n := n + 1, item, f"pool{a}", "truth" if item % 5 == 0 else "rumour", [f"view:{item}:pool"], n))
-    df = spark.createDataFrame([(p, i, a, t, e, None, s) for p, i, a, t, e, s in data], "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, confidence double, submitted_at long")
-    votes = consensus.opinions(df)
+    df = spark.createDataFrame([(p, i, a, t, e, {"good0": 0.9, "good1": 7.0, "pool0": float("nan")}.get(a), s) for p, i, a, t, e, s in data], "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, confidence double, submitted_at long")
+    votes = consensus.opinions(consensus.proposals(df))
     truth, weights = consensus.discover(votes)
     folded = {r.label for r in truth.collect()}
     right = votes.filter("annotator = 'good0'").join(truth.withColumnRenamed("label", "l"), "item").filter("label = l").count()
     assert right >= 0.93 * 300 and len(folded) >= 1
     w = {r.annotator: r.weight for r in weights.collect()}
+    over = {r.annotator: r.overconfidence for r in weights.collect()}  # impossible and missing confidences tell nothing
+    assert -0.15 < over["good0"] < 0.0 and over["good1"] is None and over["pool0"] is None
     assert min(w[f"good{i}"] for i in range(4)) > max(w[f"pool{i}"] for i in range(6))
 
 
 def test_every_annotator_has_a_row(spark):
     data = [(1, 1, "a", "yes"), (2, 1, "b", "yes"), (3, 1, "c", "no"), (4, 2, "a", "yes"), (5, 2, "rare", "no"), (6, 3, "alone", "no")]
-    df = spark.createDataFrame([(p, i, a, t, None, p) for p, i, a, t in data], "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, submitted_at long")
-    got = {r.annotator: (r.opinions, r.error, r.weight) for r in consensus.discover(consensus.opinions(df))[1].collect()}
+    df = spark.createDataFrame([(p, i, a, t, None, None, p) for p, i, a, t in data], "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, confidence double, submitted_at long")
+    got = {r.annotator: (r.opinions, r.error, r.weight) for r in consensus.discover(consensus.opinions(consensus.proposals(df)))[1].collect()}
     assert set(got) == {"a", "b", "c", "rare", "alone"} and got["rare"] == got["alone"] == (0, None, consensus.PRIOR) and got["c"][:2] == (1, 1.0)
 
 
 def test_opinions_of_dirty_rows(spark):
-    schema = "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, submitted_at long, label string"
-    df = spark.createDataFrame([(1, 1, "a", "Yes.", None, 5, "z"), (1, 1, "a", "Yes.", None, 5, "z"), (2, 1, "a", " ", [], 9, None), (3, 1, None, "yes", [None], 5, "z"), (4, None, "b", "no", [], 1, "z")], schema)
-    got = consensus.opinions(df)
+    schema = "proposal_id long, item_id long, annotator_id string, text string, evidence_refs array<string>, submitted_at long, label string, confidence double"
+    df = spark.createDataFrame([(1, 1, "a", "Yes.", None, 5, "z", None), (1, 1, "a", "Yes.", None, 5, "z", None), (2, 1, "a", " ", [], 9, None, 0.5), (3, 1, None, "yes", [None], 5, "z", -2.0), (4, None, "b", "no", [], 1, "z", 1.0)], schema)
+    got = consensus.opinions(consensus.proposals(df))
     assert got.count() == 2 and got.select("label").distinct().count() == 1
     truth, _ = consensus.discover(got)
     assert [(r.item, r.voters) for r in truth.collect()] == [(1, 2)]

@@ -40,16 +40,22 @@ def chi2_low(n: Column) -> Column:
     return n * F.pow(F.greatest(1 - c + F.lit(Z) * F.sqrt(c), F.lit(0.01)), 3)
 
 
-def opinions(df: DataFrame) -> DataFrame:
-    """``item, annotator, label, text, proposal, refs``: each annotator's latest proposal on an item.
+def proposals(df: DataFrame) -> DataFrame:
+    """``item, annotator, label, proposal, refs, confidence, at`` of every proposal with a text; texts are folded once and written.
 
     Exactly repeated rows count once; blank and null texts are no proposals, null items are
-    dropped, a null annotator is one of its own; equally late: the greater proposal id.
+    dropped, a null annotator is one of its own; a null or impossible confidence is missing.
     """
-    rows = df.select("proposal_id", F.col("item_id").alias("item"), F.coalesce("annotator_id", F.lit("")).alias("annotator"), fold(F.col("text")).alias("folded"), "evidence_refs", "submitted_at")
-    rows = rows.filter("item is not null and folded <> ''").withColumn("label", F.xxhash64("folded"))
-    best = F.max(F.struct("submitted_at", "proposal_id", "label", "evidence_refs")).alias("o")
-    return rows.groupBy("item", "annotator").agg(best).select("item", "annotator", "o.label", F.col("o.evidence_refs").alias("refs"))
+    rows = df.select("proposal_id", F.col("item_id").alias("item"), F.coalesce("annotator_id", F.lit("")).alias("annotator"), fold(F.col("text")).alias("folded"), "evidence_refs", "confidence", "submitted_at")
+    sure = F.when(F.col("confidence").between(0, 1), F.col("confidence"))
+    rows = rows.filter("item is not null and folded <> ''").select("item", "annotator", F.xxhash64("folded").alias("label"), F.col("proposal_id").alias("proposal"), F.col("evidence_refs").alias("refs"), sure.alias("confidence"), F.col("submitted_at").alias("at"))
+    return written(rows, "proposals")
+
+
+def opinions(rows: DataFrame) -> DataFrame:
+    """``item, annotator, label, refs, confidence``: each annotator's latest proposal on an item; equally late: the greater proposal id."""
+    best = F.max(F.struct("at", "proposal", "label", "refs", "confidence")).alias("o")
+    return rows.groupBy("item", "annotator").agg(best).select("item", "annotator", "o.label", "o.refs", "o.confidence")
 
 
 def dependence(votes: DataFrame) -> DataFrame:
@@ -69,29 +75,43 @@ def dependence(votes: DataFrame) -> DataFrame:
     return count.join(size, "annotator").filter((F.col("c") > POOLED * F.col("n")) & (F.col("n") >= 3)).groupBy("annotator").agg(F.max_by("source", "c").alias("pool"))
 
 
-def discover(votes: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Truths ``item, label, support, total, voters`` and annotators ``annotator, weight, error, opinions``.
+def weight_of(bound: Column) -> Column:
+    """Weight of an annotator: the log-odds of the upper bound of its error (variance of 0-or-1 distances).
+
+    The plain inverse of the bound also grows with worth, but overrates several poor annotators that agree.
+    """
+    u = F.least(F.greatest(bound, F.lit(0.001)), F.lit(0.99))
+    return F.greatest(F.log(WRONG * (1 - u) / u), F.lit(0.01))
+
+
+def discover(votes: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Truths ``item, label, support, total, voters, same`` and annotators ``annotator, weight, error, opinions, overconfidence``.
 
-    Of equal support the label of more voters, then the smaller hash wins. Only items of three or
-    more opinions tell of an annotator's errors; who has none of them has no error, opinions 0 and
-    the weight PRIOR that the truths are found with. An empty table gives empty results.
+    Rounds go on until no truth changes, ``most`` at most. Of equal support the label of more voters, then the smaller
+    hash wins. Only items of three or more opinions tell of an annotator's errors; who has none of them has no
+    error, opinions 0 and the weight PRIOR that the truths are found with. ``overconfidence`` is the mean of an
+    annotator's own stated confidence less the share of opinions that agree with the truths, null without either.
+    An empty table gives empty results.
     """
     flags = dependence(votes)
     rows = votes.join(flags, "annotator", "left")
     pooled = rows.filter("pool is not null").groupBy("item", "label", "pool").agg(F.count("*").alias("together"))
     sizes = rows.groupBy("item").agg(F.count("*").alias("n"))
     rows = rows.join(pooled, ["item", "label", "pool"], "left").join(sizes, "item")
-    rows = written(rows.select("item", "annotator", "label", "n", F.coalesce(1 / F.col("together"), F.lit(1.0)).alias("share")), "votes")
-    weights = None
-    for _ in range(rounds):
-        truth = _truths(rows, weights)
-        wrong = rows.filter("n >= 3").join(truth.select("item", F.col("label").alias("truth")), "item")
-        seen = wrong.groupBy("annotator").agg(F.sum((F.col("label") != F.col("truth")).cast("double")).alias("e"), F.count("*").alias("opinions"))
+    rows = written(rows.select("item", "annotator", "label", "n", "confidence", F.coalesce(1 / F.col("together"), F.lit(1.0)).alias("share")), "votes")
+    truth, weights = written(_truths(rows, None), "truths"), None
+    for _ in range(most):
+        judged = rows.filter("n >= 3").join(truth.select("item", F.col("label").alias("truth")), "item")
+        wrong = (F.col("label") != F.col("truth")).cast("double")
+        seen = judged.groupBy("annotator").agg(F.sum(wrong).alias("e"), F.count("*").alias("opinions"), F.avg("confidence").alias("told"))
         bound = (F.col("e") + 0.5) / chi2_low(F.col("opinions") + 1)
-        u = F.least(F.greatest(bound, F.lit(0.001)), F.lit(0.99))
-        weights = cut(seen.select("annotator", F.greatest(F.log(WRONG * (1 - u) / u), F.lit(0.01)).alias("weight"), (F.col("e") / F.col("opinions")).alias("error"), "opinions"))
+        weights = cut(seen.select("annotator", weight_of(bound).alias("weight"), (F.col("e") / F.col("opinions")).alias("error"), "opinions", (F.col("told") - 1 + F.col("e") / F.col("opinions")).alias("overconfidence")))
+        before, truth = truth, written(_truths(rows, weights), "truths")
+        moved = truth.join(before.select("item", F.col("label").alias("before")), "item").filter("label <> before")
+        if moved.isEmpty():
+            break
     everyone = rows.select("annotator").distinct().join(weights, "annotator", "left")
-    return _truths(rows, weights), everyone.select("annotator", F.coalesce("weight", F.lit(PRIOR)).alias("weight"), "error", F.coalesce("opinions", F.lit(0)).alias("opinions"))
+    return truth, everyone.select("annotator", F.coalesce("weight", F.lit(PRIOR)).alias("weight"), "error", F.coalesce("opinions", F.lit(0)).alias("opinions"), "overconfidence")
 
 
 def _truths(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -106,17 +126,15 @@ def _truths(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def _run(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    df = spark.read.parquet(f"{sf_dir}/proposed_labels.parquet")
-    truth, weights = discover(opinions(df))
-    return df, truth, weights
+    rows = proposals(spark.read.parquet(f"{sf_dir}/proposed_labels.parquet"))
+    return rows, *discover(opinions(rows))
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """The consensus label of every item, as the smallest proposal with that folded text."""
-    df, truth, _ = _run(spark, sf_dir)
-    named = df.select("item_id", "proposal_id", F.xxhash64(fold(F.col("text"))).alias("label"))
-    named = named.groupBy("item_id", "label").agg(F.min("proposal_id").alias("proposal_id"))
-    return named.join(truth.select(F.col("item").alias("item_id"), "label"), ["item_id", "label"]).select("item_id", "proposal_id")
+    rows, truth, _ = _run(spark, sf_dir)
+    named = rows.groupBy("item", "label").agg(F.min("proposal").alias("proposal_id"))
+    return named.join(truth.select("item", "label"), ["item", "label"]).select(F.col("item").alias("item_id"), "proposal_id")
 
 
 def p7_items(spark, sf_dir: str) -> DataFrame:
@@ -127,6 +145,6 @@ def p7_items(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_annotators(spark, sf_dir: str) -> DataFrame:
-    """Per annotator: opinions on items of three or more, error rate against the consensus (null without any), weight."""
+    """Per annotator: opinions on items of three or more, error rate against the consensus (null without any), weight, overconfidence."""
     _, _, weights = _run(spark, sf_dir)
-    return weights.select(F.col("annotator").alias("annotator_id"), "opinions", F.col("error").alias("error_rate"), "weight")
+    return weights.select(F.col("annotator").alias("annotator_id"), "opinions", F.col("error").alias("error_rate"), "weight", "overconfidence")

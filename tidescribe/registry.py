@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidescribe.operators import coverage
 from tidescribe.plans import oracles
 from tidescribe.plans import queries as q
-from tidescribe.plans import record_queries, text_queries
+from tidescribe.plans import more_queries, record_queries, text_queries
 
 FLAGSHIP = "manifest_counts"
 NAMES = [
@@ -18,8 +18,8 @@ NAMES = [
 
 
 def queries() -> dict:
-    return {"p1_found": coverage.p1_found} | {n: getattr(q, n) for n in NAMES} | text_queries.queries() | record_queries.queries()
+    return {"p1_found": coverage.p1_found} | {n: getattr(q, n) for n in NAMES} | text_queries.queries() | record_queries.queries() | more_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": coverage.P1_SQL} | oracles.SQL | text_queries.sql() | record_queries.SQL
+    return {"p1_found": coverage.P1_SQL} | oracles.SQL | text_queries.sql() | record_queries.SQL | more_queries.sql()

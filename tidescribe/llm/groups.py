@@ -145,3 +145,16 @@ def p2_splits(spark, sf_dir: str) -> DataFrame:
     configs = spark.read.parquet(f"{sf_dir}/training_configs.parquet")
     out = assign_splits(units, configs).join(clips.distinct(), "unit")
     return out.select("config_id", "clip_id", "unit", "split")
+
+
+def p2_sql() -> str:
+    """SQL of `p2_found`: names of recordings by the same rule, and everything reachable over names and source ids."""
+    from tidescribe.plans.text_queries import mapped, nfkc, unicode_tables
+
+    u = unicode_tables()
+    return f"""WITH RECURSIVE {u['nk']}, {u['cf']}, r AS (SELECT DISTINCT source_file f, source_id s FROM clips_metadata WHERE trim(coalesce(source_file, '')) <> '' OR trim(coalesce(source_id, '')) <> ''),
+d AS (SELECT DISTINCT f, url_decode(f) u FROM r WHERE regexp_matches(f, '[^\\s]')), {nfkc('n1', 'd', 'f', 'u')}, {mapped('n2', 'n1', 'k', 't', 'cf')},
+n3 AS (SELECT k, trim(list_last(string_split(replace(rtrim(trim(t), '/' || chr(92)), chr(92), '/'), '/'))) b FROM n2), n4 AS (SELECT k, CASE WHEN regexp_matches(regexp_extract(b, '[.][a-z0-9]{{1,5}}$'), '[a-z]') THEN regexp_replace(b, '[.][a-z0-9]{{1,5}}$', '') ELSE b END b FROM n3),
+nm AS (SELECT k f, coalesce(nullif(regexp_replace(b, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g'), ''), k) n FROM n4), e AS (SELECT DISTINCT 'f' || n a, 's' || s b FROM r JOIN nm USING (f) WHERE trim(s) <> ''),
+ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(v, w) AS (SELECT DISTINCT 'f' || n, 'f' || n FROM nm UNION SELECT c.v, ee.b FROM c JOIN ee ON c.w = ee.a)
+SELECT DISTINCT x.f AS source_file_a, y.f AS source_file_b FROM c JOIN nm x ON c.v = 'f' || x.n JOIN nm y ON c.w = 'f' || y.n WHERE encode(x.f) < encode(y.f)"""

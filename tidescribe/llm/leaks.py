@@ -152,3 +152,16 @@ def p9_clean(spark, sf_dir: str) -> DataFrame:
     """Ids and sources of the documents that remain once the affected ones are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return without_leaks(docs, "doc_id", _leaks(spark, sf_dir))
+
+
+def p9_sql() -> tuple[str, str]:
+    """SQL of `p9_found` and `p9_clean`: folded texts, every window of 30 characters of the items looked up in those of the documents."""
+    from tidescribe.plans.text_queries import mapped, nfkc, unicode_tables
+
+    u = unicode_tables()
+    folded = lambda n, src, key: f"{nfkc(n + '1', src, key, 'text')}, {mapped(n + '2', n + '1', 'k', 't', 'cf')}, {n} AS (SELECT k, regexp_replace(t, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g') t FROM {n}2)"
+    window = lambda n: f"SELECT k, i, substr(t, CAST(i AS BIGINT), 30) w FROM (SELECT k, t, unnest(range(1, CAST(length(t) AS BIGINT) - 28)) i FROM {n})"
+    found = f"""WITH {u['nk']}, {u['cf']}, {folded('it', 'eval_items', 'item_id')}, {folded('dc', 'documents', 'doc_id')}, iw AS ({window('it')}), dw AS (SELECT DISTINCT k, w FROM ({window('dc')}) WHERE w IN (SELECT w FROM iw)),
+m AS (SELECT DISTINCT dw.k d, iw.k it, iw.i FROM iw JOIN dw USING (w)), g AS (SELECT *, coalesce(least(lead(i) OVER (PARTITION BY d, it ORDER BY i) - i, 30), 30) c FROM m)
+SELECT d AS doc_id, g.it AS item_id FROM g JOIN it ON it.k = g.it GROUP BY 1, 2, it.t HAVING sum(c) * 2 >= length(it.t)"""
+    return found, f"WITH found_ AS ({found}) SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found_)"

@@ -28,4 +28,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p5_found": streamjoin.P5_SQL, "p10_found": spans.P10_SQL, "p10_shared": spans.P10_SHARED_SQL}
+    found, clean = leaks.p9_sql()
+    return {"p5_found": streamjoin.P5_SQL, "p2_found": groups.p2_sql(), "p4_found": overlap.p4_sql(), "p9_found": found, "p9_clean": clean, "p10_found": spans.P10_SQL, "p10_shared": spans.P10_SHARED_SQL}

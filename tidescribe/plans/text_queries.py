@@ -278,12 +278,20 @@ def nfkc(name: str, src: str, key: str, col: str) -> str:
     return mapped(name, src, key, f"coalesce({col}, '')", "nk", "nfc_normalize({})")
 
 
-def coded(a: str, b: str, as_list: bool = False) -> str:
-    """Edits between two texts (or lists): symbols of the pair renumbered to one byte each."""
-    x, y = (a, b) if as_list else (f"string_split({a}, '')", f"string_split({b}, '')")
-    both = f"list_distinct(list_concat({x}, {y}))"
-    one = lambda z: f"array_to_string(list_transform({z}, lambda c: chr(CAST(list_position({both}, c) + 32 + CASE WHEN list_position({both}, c) > 94 THEN -94 - 32 ELSE 0 END AS INTEGER))), '')"
-    return f"CASE WHEN len({x}) = 0 OR {x} = [''] THEN CASE WHEN {y} = [''] THEN 0 ELSE len({y}) END WHEN len({y}) = 0 OR {y} = [''] THEN len({x}) ELSE levenshtein({one(x)}, {one(y)}) END"
+#: One-byte symbols that stand for the characters or tokens of a pair.
+SYMBOLS = quoted("".join(chr(i) for i in [*range(33, 127), *range(1, 33)]))
+
+
+def coded(a: str, b: str) -> str:
+    """Edits between two texts: the pair's characters renumbered to one byte each."""
+    own = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    return f"CASE WHEN {a} = '' THEN length({b}) WHEN {b} = '' THEN length({a}) ELSE levenshtein(translate({a}, {own}, {SYMBOLS}), translate({b}, {own}, {SYMBOLS})) END"
+
+
+def coded_lists(a: str, b: str, own: str) -> str:
+    """Edits between two lists, ``own`` being a column with the distinct values of both."""
+    one = lambda z: f"array_to_string(list_transform({z}, lambda c: substr({SYMBOLS}, CAST(list_position({own}, c) AS BIGINT), 1)), '')"
+    return f"CASE WHEN len({a}) = 0 THEN len({b}) WHEN len({b}) = 0 THEN len({a}) ELSE levenshtein({one(a)}, {one(b)}) END"
 
 
 P = "p AS (SELECT DISTINCT * FROM proposed_labels)"
@@ -297,8 +305,8 @@ def _scores_sql(reference: str, u: dict[str, str]) -> str:
     toks = lambda t: f"list_transform(regexp_extract_all({t}, '{tokens}'), lambda w: regexp_replace(w, '[\\s\\p{{P}}\\p{{S}}]+', '', 'g'))"
     return f"""{u['nk']}, {P}, {reference}, {nfkc('nr', 'x', 'k', 'ref')}, {nfkc('nh', 'x', 'k', 'hyp')},
 e AS (SELECT x.k, x.g, {collapsed('lower(nr.t)')} r, {collapsed('lower(nh.t)')} h FROM x JOIN nr USING (k) JOIN nh USING (k)),
-e2 AS (SELECT *, replace(r, ' ', '') rb, replace(h, ' ', '') hb, {toks('r')} rt, {toks('h')} ht FROM e),
-s AS (SELECT k, g, r, CAST({coded('r', 'h')} AS BIGINT) char_edits, length(r) ref_chars, CAST({coded('rb', 'hb')} AS BIGINT) bare_edits, length(rb) bare_chars, CAST({coded('rt', 'ht', True)} AS BIGINT) token_edits, CAST(len(rt) AS BIGINT) ref_tokens FROM e2)"""
+e2 AS (SELECT *, replace(r, ' ', '') rb, replace(h, ' ', '') hb, {toks('r')} rt, {toks('h')} ht FROM e), e3 AS (SELECT *, list_distinct(list_concat(rt, ht)) own FROM e2),
+s AS (SELECT k, g, r, CAST({coded('r', 'h')} AS BIGINT) char_edits, length(r) ref_chars, CAST({coded('rb', 'hb')} AS BIGINT) bare_edits, length(rb) bare_chars, CAST({coded_lists('rt', 'ht', 'own')} AS BIGINT) token_edits, CAST(len(rt) AS BIGINT) ref_tokens FROM e3)"""
 
 
 RATES = "round(avg(char_edits / nullif(ref_chars, 0)), 9) AS mean_cer, round(sum(char_edits) / nullif(sum(ref_chars), 0), 9) AS micro_cer, round(avg(token_edits / nullif(ref_tokens, 0)), 9) AS mean_wer, round(sum(token_edits) / nullif(sum(ref_tokens), 0), 9) AS micro_wer, round(sum(bare_edits) / nullif(sum(bare_chars), 0), 9) AS micro_cer_no_space"

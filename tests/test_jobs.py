@@ -17,10 +17,9 @@ def test_backends_and_models(spark):
         models.backend("diarizer", "x")
     with pytest.raises(LookupError):
         models.backend("asr", "x", allow_null=False)
-    raw = spark.createDataFrame([("p", bytearray(b"abc"))], "path string, content binary")
-    ok = models.apply_model(raw, models.transcoder(["cat"]), "path string, pcm binary, error string").first()
-    bad = models.apply_model(raw, models.transcoder(["/no/such"]), "path string, pcm binary, error string").first()
-    assert bytes(ok.pcm) == b"abc" and bad.pcm is None and bad.error
+    raw = spark.createDataFrame([("p",)], "path string")
+    bad = models.apply_model(raw, models.transcoder(["/no/such", "{source}"], "/tmp"), "path string, audio_id string, target string, seconds double, error string").first()
+    assert bad.audio_id.startswith("p_") and bad.target is None and bad.error
 
 
 def test_jobs(spark):

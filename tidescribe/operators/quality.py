@@ -260,22 +260,22 @@ class WordList:
 ENGLISH_WORD = re.compile(r"[A-Za-z][A-Za-z0-9'’_-]*")
 
 
-def english_checker(words: WordList, acronym: int = 8) -> Checker:
-    """UD02: words of two or more letters that are no acronym; right if the nearest word of the list is the word itself."""
+def english_checker(words: WordList, acronym: int = 8, suggest: bool = True) -> Checker:
+    """UD02: words of two or more letters that are no acronym; right if the nearest word of the list is the word itself. Close words only where they are to be told."""
 
     def check(text: str) -> list[tuple[str, list[str] | None]]:
         units = [u for u in ENGLISH_WORD.findall(text) if len(u) > 1 and not (u.isupper() and len(u) <= acronym)]
-        return [(u, None if u.casefold() in words.count else words.close(u.casefold())) for u in units]
+        return [(u, None if u.casefold() in words.count else words.close(u.casefold()) if suggest else []) for u in units]
 
     return check
 
 
-def dictionary_checker(words: WordList, script: str, shortest: int = 2) -> Checker:
+def dictionary_checker(words: WordList, script: str, shortest: int = 2, suggest: bool = True) -> Checker:
     """UD02 for a script without blanks (Thai, Japanese): the text is cut by the list; pieces it lacks are suspicious."""
 
     def check(text: str) -> list[tuple[str, list[str] | None]]:
         units = [u for part in text.split() for u in words.cut(part) if len(u) >= shortest and any(tx.script_of(c) == script or script == "" for c in u)]
-        return [(u, None if u in words.count else words.close(u)) for u in units]
+        return [(u, None if u in words.count else words.close(u) if suggest else []) for u in units]
 
     return check
 

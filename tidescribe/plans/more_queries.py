@@ -38,7 +38,7 @@ def _spelled(spark, d, checkers: dict) -> DataFrame:
 
 def spelling_audit(spark, d):
     """UD01-UD03, AG05, AG06: checked and suspicious English words of every clip, against the recognised words, and whether it needs review."""
-    units = _spelled(spark, d, {"english": quality.english_checker(quality.WordList(vocabulary(spark, d)))})
+    units = _spelled(spark, d, {"english": quality.english_checker(quality.WordList(vocabulary(spark, d)), suggest=False)})
     out = quality.spelling_rows(units.withColumnRenamed("key", "clip_id"), "clip_id")
     return out.select("clip_id", "total", "suspicious", F.round("ratio", 9).alias("ratio"), "review")
 
@@ -47,7 +47,7 @@ def spelling_languages(spark, d):
     """UD02, AG05: English, Thai and Japanese words of all clips: checked and suspicious per language, and clips with an issue."""
     words = vocabulary(spark, d)
     mine = lambda script: quality.WordList({w: n for w, n in words.items() if w and tx.script_of(w[0]) == script})
-    checkers = {"english": quality.english_checker(mine("latin")), "thai": quality.dictionary_checker(mine("thai"), "thai"), "japanese": quality.dictionary_checker(quality.WordList({w: n for w, n in words.items() if w and tx.script_of(w[0]) in ("han", "hiragana", "katakana")}), "")}
+    checkers = {"english": quality.english_checker(mine("latin"), suggest=False), "thai": quality.dictionary_checker(mine("thai"), "thai", suggest=False), "japanese": quality.dictionary_checker(quality.WordList({w: n for w, n in words.items() if w and tx.script_of(w[0]) in ("han", "hiragana", "katakana")}), "", suggest=False)}
     units = _spelled(spark, d, checkers)
     return units.groupBy("language").agg(F.sum("checked").alias("checked"), F.sum("suspicious").alias("suspicious"), F.count_if(F.col("suspicious") > 0).alias("clips"))
 

@@ -224,6 +224,30 @@ def test_p4_finds_pairs_that_keep_no_window_of_eight(spark):
     assert (1, 2) in want and got == want
 
 
+def test_p4_shuffles_no_text_for_each_block_it_meets(spark, monkeypatch):
+    """Four times the texts, in many blocks on both sides: about four times the rows shuffled, and still every near pair."""
+    monkeypatch.setattr(overlap, "BLOCK", 2000)
+    rng = random.Random(6)
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+    def run(n):
+        base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(80, 120))) for _ in range(n)]
+        edited = ["".join("z" if rng.random() < 0.08 else c for c in t) if i % 3 else "".join(rng.choice("qrstuv") for _ in range(100)) for i, t in enumerate(base)]
+        data = [x for i, (t, u) in enumerate(zip(base, edited)) for x in ((2 * i, "train/a.wav", t), (2 * i + 1, "test/a.wav", u))]
+        before = shuffled()
+        got = {(r.train_id, r.other_id) for r in overlap.cross_split(spark.createDataFrame(data, "id long, f string, t string"), "id", "f", "t").collect()}
+        assert got == {(2 * i, 2 * i + 1) for i, (t, u) in enumerate(zip(base, edited)) if lev_at_most(t, u, int(0.15 * max(len(t), len(u))))}
+        return sum(v for k, v in shuffled().items() if k not in before)
+
+    small, large = run(150), run(600)
+    assert large < 6 * small, (small, large)
+
+
 def test_p4_edge_cases(spark):
     long = "the quick brown fox jumps over the lazy dog again"
     data = [(1, None, long), (1, None, long), (2, ".\\Test\\x.wav", long.upper()), (3, "val/x", "short"), (4, "train/x", None), (5, "./dev/x", ""), (6, "x.wav", long + "!")]
